@@ -12,9 +12,7 @@ def kv(name: str, data: str = "eventData") -> Column:
     Works on the two field arrays with `array_position`, so the lookup stays in
     generated code; position 0 (absent) becomes index -1, which `get` maps to NULL.
     """
-    pairs = F.col(data)
-    position = F.array_position(pairs["key"], name).cast("int")
-    return F.get(pairs["value"], position - 1)
+    return F.expr(f"get({data}.value, cast(array_position({data}.key, '{name}') as int) - 1)")
 
 
 def kv_or_blank(name: str, data: str = "eventData") -> Column:
@@ -87,9 +85,8 @@ def counters(document: Column, names: list[str]) -> Column:
 
 def counter(name: str, picked: str = "_counters") -> Column:
     """Value of the first counter with the name, even if that value is NULL."""
-    found = F.col(picked)
-    position = F.array_position(found["counterName"], name).cast("int")
-    return F.get(found["counterValue"], position - 1).try_cast("bigint")
+    position = f"cast(array_position({picked}.counterName, '{name}') as int)"
+    return F.expr(f"try_cast(get({picked}.counterValue, {position} - 1) as bigint)")
 
 
 def task_duration(picked: str = "_counters") -> Column:

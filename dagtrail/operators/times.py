@@ -22,6 +22,11 @@ def _successes(events: DataFrame) -> DataFrame:
     return task_finishes(events).where(F.col("wasSuccessful") & ~blank(F.col("appId")))
 
 
+def _task_ids(events: DataFrame) -> DataFrame:
+    """Ids of all task finishes: enough to weigh join keys without reading payloads."""
+    return events.where(F.col("eventType") == S.TASK_FINISHED).select("dagId", "vertexId")
+
+
 def _same_application():
     """The application of task and vertex; the job fails if they differ."""
     message = F.concat(F.lit("application of a task differs from that of vertex "), F.col("vertexId"))
@@ -31,16 +36,19 @@ def _same_application():
 def task_times(events: DataFrame) -> DataFrame:
     """Count, extremes, mean and deviation of task times per application and type.
 
-    Tasks are reduced to moments per vertex before either join: those joins see a
-    row per vertex, and the moments merge exactly afterwards.
+    Tasks are reduced to moments per vertex before either join, and the moments merge
+    exactly afterwards. The join on the vertex sees one row of each; on the DAG, one
+    row per vertex remains, so that join is still sliced.
     """
     per_vertex = (
         _successes(events)
         .groupBy("dagId", "vertexId", "appId")
         .agg(*collect_moments("timeTaken"), F.min("timeTaken").alias("lo"), F.max("timeTaken").alias("hi"))
     )
-    called = lookup_join(per_vertex, dag_callers(events), "dagId", ["vertexId", "appId"])
-    typed = lookup_join(called, _known_vertices(events), "vertexId", ["dagId", "appId"])
+    called = lookup_join(
+        per_vertex, dag_callers(events), "dagId", ["vertexId", "appId"], weigh=_task_ids(events)
+    )
+    typed = called.join(_known_vertices(events), "vertexId")
     groups = (
         typed.select(_same_application().alias("applicationID"), "type", "n", "s", "q", "lo", "hi")
         .groupBy("applicationID", "type")
@@ -59,8 +67,9 @@ def task_times(events: DataFrame) -> DataFrame:
 
 def time_detail(events: DataFrame) -> DataFrame:
     """One row per task that the time report counts."""
-    called = lookup_join(_successes(events), dag_callers(events), "dagId", S.IDENTITY)
-    typed = lookup_join(called, _known_vertices(events), "vertexId", S.IDENTITY)
+    ids = _task_ids(events)
+    called = lookup_join(_successes(events), dag_callers(events), "dagId", S.IDENTITY, weigh=ids)
+    typed = lookup_join(called, _known_vertices(events), "vertexId", S.IDENTITY, weigh=ids)
     return typed.select(
         _same_application().alias("applicationID"),
         F.col("vertexId").alias("vertexID"),

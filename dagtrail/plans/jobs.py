@@ -4,11 +4,11 @@ import argparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dagtrail import schemas as S
 from dagtrail.operators.callers import delivered, filter_event_types, limited_events
 from dagtrail.plans.processors import Processor, find, processors
 from dagtrail.sources.entitylog import read_ats
-from dagtrail.sources.history import read_history, write_history
-from dagtrail.sources.paths import shared_folder
+from dagtrail.sources.history import read_history, stage_events
 
 
 def _limited(processor: Processor, events: DataFrame, limit: int | None) -> DataFrame:
@@ -22,18 +22,10 @@ def _limited(processor: Processor, events: DataFrame, limit: int | None) -> Data
     if not processor.needs_callers:
         return limited_events(filter_event_types(events, processor.event_types), limit)
     handed = limited_events(delivered(events, processor.event_types).drop("callerId"), limit)
-    naming = filter_event_types(events, ["DAG_SUBMITTED"])
+    naming = filter_event_types(events, [S.DAG_SUBMITTED])
     return handed.unionByName(naming)
 
 
-def _staged(events: DataFrame, label: str) -> DataFrame:
-    """Write events once to the shared folder and go on from there."""
-    spark = events.sparkSession
-    path = shared_folder(spark, label)
-    write_history(events, path)
-    return read_history(spark, path)
-
-
 def run_job(
     spark: SparkSession,
     processor: str,
@@ -61,7 +53,7 @@ def run_job(
         events = read_history(spark, input_path, **source_options)
     capped = limit is not None and limit > 0
     if ats or capped:
-        events = _staged(_limited(chosen, events, limit), "events")
+        events = stage_events(_limited(chosen, events, limit))
     chosen.write(chosen.apply(events), output_path, output_format)
 
 

@@ -14,7 +14,7 @@ from dagtrail.operators.times import task_times, time_detail
 from dagtrail.operators.vertices import attempt_starts, llap_vertices, task_finishes
 from dagtrail.plans.jobs import run_job
 from dagtrail.sources import entitylog, tables
-from dagtrail.sources.history import write_history
+from dagtrail.sources.history import stage_events, write_history
 from dagtrail.sources.paths import shared_folder
 from dagtrail.sources.report import read_task_report, write_task_report
 
@@ -138,7 +138,7 @@ def queries() -> dict[str, Query]:
         "task_features": _on_history(task_features),
         "ats_events": _on_entities(lambda e: e.drop("srcFile", "srcPos", "eventData")),
         "ats_event_data": _on_entities(_ats_event_data),
-        "ats_task_features": _on_entities(task_features),
+        "ats_task_features": _on_entities(lambda e: task_features(stage_events(e))),
         "limited_events": _on_history(lambda e: _ids(C.limited_events(e, 100, ["srcPos"]))),
         "run_job_features": _job("task_features", S.REPORT_COLUMNS),
         "run_job_times": _job("task_times", S.TIME_COLUMNS),

@@ -1,5 +1,8 @@
 """JSON entity logs: text lines to the history-event schema."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +12,15 @@ from dagtrail.sources.paths import require_directory
 
 FILE_GLOB = "entitylog-*"
 
-# Cheap text test that every line with a wanted entity passes: the type is spelled
-# out, or the line holds a \u escape and could spell it that way.
-_CANDIDATE = "|".join([*S.FEATURE_TYPES, r"\\u"])
+
+
+def _candidate():
+    """Cheap text test that every line with a wanted entity passes.
+
+    The type is spelled out, or the line holds a \\u escape and could spell it that way.
+    """
+    spelled = [F.col("line").contains(text) for text in [*S.FEATURE_TYPES, "\\u"]]
+    return reduce(or_, spelled)
 
 
 def read_entity_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -36,8 +45,7 @@ def entities(lines: DataFrame) -> DataFrame:
 
 def to_events(lines: DataFrame) -> DataFrame:
     """Vertex starts, attempt starts and attempt finishes as history events."""
-    candidates = lines.where(F.col("line").rlike(_CANDIDATE))
-    typed = entities(candidates).withColumn("eventType", E.event_type("entity"))
+    typed = entities(lines.where(_candidate())).withColumn("eventType", E.event_type("entity"))
     wanted = typed.where(F.col("eventType").isin(S.FEATURE_TYPES))
     kind, name = F.col("entity.entitytype"), F.col("entity.entity")
     vertex = F.coalesce(F.when(kind == "TEZ_VERTEX_ID", name), E.single_filter("entity", "TEZ_VERTEX_ID"))

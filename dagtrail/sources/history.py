@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagtrail import schemas as S
-from dagtrail.sources.paths import require_directory
+from dagtrail.sources.paths import require_directory, shared_folder
 
 FORMATS = ("parquet", "json")
 
@@ -71,6 +71,14 @@ def write_history(events: DataFrame, path: str) -> None:
     rows.sortWithinPartitions("eventType").write.mode("overwrite").parquet(path)
 
 
+def stage_events(events: DataFrame, label: str = "events") -> DataFrame:
+    """Store events once in the shared folder and go on from the stored table."""
+    spark = events.sparkSession
+    path = shared_folder(spark, label)
+    write_history(events, path)
+    return read_history(spark, path)
+
+
 def read_manifest(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
     """Scan manifest entries; damaged files are skipped, as this input is optional."""
     reader = _reader(spark, file_format, skip_damaged_files=True)

@@ -4,8 +4,7 @@ The two mappings give realistic, skewed-by-choice inputs for the registered quer
 they only project columns, so a query grows with the table it reads.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from dagtrail import schemas as S
 
@@ -14,138 +13,122 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _named(prefix: str, number: Column) -> Column:
-    return F.concat(F.lit(prefix), number.cast("string"))
+# Report column <- expression on a line item; columns not listed are NULL.
+_REPORT = {
+    "eventTime": "unix_millis(cast(l_shipdate as timestamp))",
+    "nodeID": "if(l_returnflag = 'R', null, concat('host', l_suppkey % 10, ':', l_suppkey + 15000))",
+    "contID": "if(l_returnflag = 'R', null, concat('container_', l_suppkey))",
+    "applID": "concat('app_', l_orderkey % 7)",
+    "vertexID": "concat('vertex_', l_orderkey)",
+    "dagID": "concat('dag_', l_orderkey % 35)",
+    "taskID": "concat('task_', l_partkey)",
+    "status": "case l_returnflag when 'N' then 'SUCCEEDED' when 'R' then 'KILLED' else 'FAILED' end",
+    "hdfsBytesRead": "l_partkey * 1000",
+    "hdfsBytesWritten": "l_suppkey * 100",
+    "hdfsReadOps": "l_quantity",
+    "taskDurationMillis": "floor(l_extendedprice)",
+    "inputRecords": "l_quantity * 10",
+    "inputSplitLengthBytes": "l_partkey",
+    "consumerTimeNano": "l_suppkey",
+    "decodeTimeNano": "l_quantity * 7",
+    "hdfsTimeNano": "l_orderkey",
+    "totalIONano": "l_partkey + l_suppkey",
+    "specQueueNano": "round(l_tax * 100)",
+    "specRunningNano": "round(l_discount * 100)",
+    "vertexName": "concat(if(l_linestatus = 'O', 'Map ', 'Reducer '), l_linenumber)",
+    "vertexNumTasks": "l_linenumber",
+}
 
 
 def report_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     """A task report with one attempt per line item."""
-    supplier = F.col("l_suppkey")
-    killed = F.col("l_returnflag") == "R"
-    quantity = F.col("l_quantity").cast("bigint")
-    node = F.concat(_named("host", supplier % 10), _named(":", supplier + 15000))
-    kind = F.when(F.col("l_linestatus") == "O", "Map ").otherwise("Reducer ")
-    values = {
-        "eventTime": F.unix_millis(F.col("l_shipdate").cast("timestamp")),
-        "nodeID": F.when(~killed, node),
-        "contID": F.when(~killed, _named("container_", supplier)),
-        "applID": _named("app_", F.col("l_orderkey") % 7),
-        "vertexID": _named("vertex_", F.col("l_orderkey")),
-        "dagID": _named("dag_", F.col("l_orderkey") % 35),
-        "taskID": _named("task_", F.col("l_partkey")),
-        "status": F.when(F.col("l_returnflag") == "N", "SUCCEEDED").when(killed, "KILLED").otherwise("FAILED"),
-        "taskDurationMillis": F.floor("l_extendedprice").cast("bigint"),
-        "hdfsBytesRead": F.col("l_partkey") * 1000,
-        "hdfsBytesWritten": supplier * 100,
-        "hdfsReadOps": quantity,
-        "inputRecords": quantity * 10,
-        "inputSplitLengthBytes": F.col("l_partkey"),
-        "consumerTimeNano": supplier,
-        "decodeTimeNano": quantity * 7,
-        "hdfsTimeNano": F.col("l_orderkey"),
-        "totalIONano": F.col("l_partkey") + supplier,
-        "specQueueNano": F.round(F.col("l_tax") * 100).cast("bigint"),
-        "specRunningNano": F.round(F.col("l_discount") * 100).cast("bigint"),
-        "vertexName": F.concat(kind, F.col("l_linenumber").cast("string")),
-        "vertexNumTasks": F.col("l_linenumber").cast("bigint"),
-    }
     columns = [
-        values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.TASK_REPORT.fields
+        f"cast({_REPORT.get(f.name, 'null')} as {f.dataType.simpleString()}) as {f.name}"
+        for f in S.TASK_REPORT.fields
     ]
-    return table(spark, folder, "lineitem").select(*columns)
-
-
-def _pair(key: str, value: Column) -> Column:
-    return F.struct(F.lit(key).alias("key"), value.alias("value"))
-
-
-def _counter(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f'{{"counterName":"{name}","counterValue":'), value.cast("string"), F.lit("}"))
-
-
-def raw_events_schema() -> str:
-    return "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    return table(spark, folder, "lineitem").selectExpr(*columns)
+
+
+RAW_EVENTS = (
+    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+)
+
+# Source event type -> history event type and the pairs of its payload.
+_HISTORY = {
+    "signup": (
+        S.DAG_SUBMITTED,
+        """if(user_id % 35 < 28,
+              array(named_struct('key', 'callerId', 'value', concat('caller_', k % 10))),
+              cast(array() as array<struct<key: string, value: string>>))""",
+    ),
+    "click": (
+        S.VERTEX_INITIALIZED,
+        """array(
+             named_struct('key', 'vertexName', 'value',
+                          concat(if(user_id % 3 = 0, 'Map ', 'Reducer '), k % 5)),
+             named_struct('key', 'numTasks', 'value', string(k)),
+             named_struct('key', 'servicePlugin', 'value',
+                          concat('{"taskSchedulerName":"', if(user_id % 4 <> 0, 'LLAP', 'YARN'), '"}')))""",
+    ),
+    "view": (
+        S.TASK_ATTEMPT_STARTED,
+        """array(
+             named_struct('key', 'nodeId', 'value', concat('host', k % 10, ':', k + 15000)),
+             named_struct('key', 'containerId', 'value', concat('container_', k)))""",
+    ),
+    "purchase": (
+        S.TASK_ATTEMPT_FINISHED,
+        """array(
+             named_struct('key', 'status', 'value',
+                          case k % 10 when 0 then 'KILLED' when 1 then 'FAILED' else 'SUCCEEDED' end),
+             named_struct('key', 'counters', 'value', concat(
+                 '{"counterGroups":[{"counters":[{"counterName":"HDFS_BYTES_READ","counterValue":', event_id,
+                 '},{"counterName":"ROWS_EMITTED","counterValue":', k, '}',
+                 if(k % 3 <> 0,
+                    concat(',{"counterName":"TASK_DURATION_MILLIS","counterValue":', ms, '}'), ''),
+                 ']}]}')),
+             named_struct('key', 'startTime', 'value', string(eventTime - ms)),
+             named_struct('key', 'endTime', 'value', string(eventTime)))""",
+    ),
+    "error": (
+        S.TASK_FINISHED,
+        """array(
+             named_struct('key', 'timeTaken', 'value', string(ms)),
+             named_struct('key', 'status', 'value', if(k % 5 <> 0, 'SUCCEEDED', 'FAILED')),
+             named_struct('key', 'numFailedTaskAttempts', 'value', string(k % 3)))""",
+    ),
+}
+
+
+def _by_type(position: int) -> str:
+    """Expression that picks the event type (0) or the payload (1)."""
+    text = (lambda x: f"'{x}'") if position == 0 else str
+    branches = " ".join(f"when '{raw}' then {text(made[position])}" for raw, made in _HISTORY.items())
+    return f"case event_type {branches} end"
 
 
 def history_from(raw: DataFrame) -> DataFrame:
     """History events from the general event table; batch or stream."""
-    user = F.col("user_id")
-    named = raw.select(
+    named = raw.selectExpr(
         "event_id",
         "user_id",
         "event_type",
-        F.regexp_extract("props", "[0-9]+", 0).cast("bigint").alias("k"),
-        F.floor(F.col("value") * 100).cast("bigint").alias("ms"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("eventTime"),
-    )
-    k, ms = F.col("k"), F.col("ms")
-    kind = F.col("event_type")
-    types = {
-        "signup": S.DAG_SUBMITTED,
-        "click": S.VERTEX_INITIALIZED,
-        "view": S.TASK_ATTEMPT_STARTED,
-        "purchase": S.TASK_ATTEMPT_FINISHED,
-        "error": S.TASK_FINISHED,
-    }
-    no_pairs = F.array().cast(S.HISTORY_EVENT["eventData"])
-    plugin = F.concat(
-        F.lit('{"taskSchedulerName":"'), F.when(user % 4 != 0, "LLAP").otherwise("YARN"), F.lit('"}')
+        "cast(regexp_extract(props, '[0-9]+', 0) as bigint) as k",
+        "cast(floor(value * 100) as bigint) as ms",
+        "unix_millis(cast(ts as timestamp)) as eventTime",
     )
-    duration = F.when(k % 3 != 0, F.concat(F.lit(","), _counter("TASK_DURATION_MILLIS", ms))).otherwise("")
-    counters = F.concat(
-        F.lit('{"counterGroups":[{"counters":['),
-        _counter("HDFS_BYTES_READ", F.col("event_id")),
-        F.lit(","),
-        _counter("ROWS_EMITTED", k),
-        duration,
-        F.lit("]}]}"),
+    return named.selectExpr(
+        f"{_by_type(0)} as eventType",
+        "eventTime",
+        "concat('app_', user_id % 7) as appId",
+        "concat('dag_', user_id % 35) as dagId",
+        "concat('vertex_', user_id) as vertexId",
+        "concat('task_', user_id, '_', k % 20) as taskId",
+        "concat('attempt_', user_id, '_', k % 20) as taskAttemptId",
+        f"{_by_type(1)} as eventData",
+        "'events' as srcFile",
+        "event_id as srcPos",
     )
-    outcome = F.when(k % 10 == 0, "KILLED").when(k % 10 == 1, "FAILED").otherwise("SUCCEEDED")
-    data = {
-        "signup": F.when(user % 35 < 28, F.array(_pair("callerId", _named("caller_", k % 10)))).otherwise(no_pairs),
-        "click": F.array(
-            _pair(
-                "vertexName",
-                F.concat(F.when(user % 3 == 0, "Map ").otherwise("Reducer "), (k % 5).cast("string")),
-            ),
-            _pair("numTasks", k.cast("string")),
-            _pair("servicePlugin", plugin),
-        ),
-        "view": F.array(
-            _pair("nodeId", F.concat(_named("host", k % 10), _named(":", k + 15000))),
-            _pair("containerId", _named("container_", k)),
-        ),
-        "purchase": F.array(
-            _pair("status", outcome),
-            _pair("counters", counters),
-            _pair("startTime", (F.col("eventTime") - ms).cast("string")),
-            _pair("endTime", F.col("eventTime").cast("string")),
-        ),
-        "error": F.array(
-            _pair("timeTaken", ms.cast("string")),
-            _pair("status", F.when(k % 5 != 0, "SUCCEEDED").otherwise("FAILED")),
-            _pair("numFailedTaskAttempts", (k % 3).cast("string")),
-        ),
-    }
-    event_type = F.lit(None).cast("string")
-    event_data = no_pairs
-    for name in reversed(types):
-        event_type = F.when(kind == name, types[name]).otherwise(event_type)
-        event_data = F.when(kind == name, data[name]).otherwise(event_data)
-    attempt = F.concat(user.cast("string"), F.lit("_"), (k % 20).cast("string"))
-    values = {
-        "eventType": event_type,
-        "eventTime": F.col("eventTime"),
-        "appId": _named("app_", user % 7),
-        "dagId": _named("dag_", user % 35),
-        "vertexId": _named("vertex_", user),
-        "taskId": _named("task_", attempt),
-        "taskAttemptId": _named("attempt_", attempt),
-        "eventData": event_data,
-        "srcFile": F.lit("events"),
-        "srcPos": F.col("event_id"),
-    }
-    return named.select(*[values[c].cast(k).alias(c) for c, k in S.HISTORY_EVENT.items()])
 
 
 def history_from_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,59 +137,36 @@ def history_from_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def manifest_from_events(spark: SparkSession, folder: str) -> DataFrame:
     """Manifest entries, several per application; one caller has none."""
-    raw = table(spark, folder, "events").where(F.col("event_type") == "signup")
-    k = F.regexp_extract("props", "[0-9]+", 0).cast("bigint")
-    return raw.where((k < 50) & (k % 10 != 9)).select(_named("caller_", k % 10).alias("appId"))
+    raw = table(spark, folder, "events").where("event_type = 'signup'")
+    k = raw.selectExpr("cast(regexp_extract(props, '[0-9]+', 0) as bigint) as k")
+    return k.where("k < 50 and k % 10 <> 9").selectExpr("concat('caller_', k % 10) as appId")
 
 
 def entity_lines_from(history: DataFrame) -> DataFrame:
     """History events written as entity-log lines, every second line with two objects.
 
-    Counter and plugin documents become nested objects, as in real logs.
+    Counter and plugin documents become nested objects, as in real logs; the second
+    object is a marker without an event.
     """
-
-    def one(text: Column) -> Column:
-        return F.array(text)
-
-    data = F.col("eventData")
-    nested = data["key"]
-    other = F.concat(
-        F.lit("{"),
-        F.array_join(
-            F.transform(
-                F.arrays_zip(nested.alias("key"), data["value"].alias("value")),
-                lambda p: F.concat(
-                    F.lit('"'),
-                    p["key"],
-                    F.lit('":'),
-                    F.when(p["value"].startswith("{"), p["value"]).otherwise(
-                        F.concat(F.lit('"'), p["value"], F.lit('"'))
-                    ),
-                ),
-            ),
-            ",",
-        ),
-        F.lit("}"),
-    )
-    is_attempt = F.col("eventType").isin(S.TASK_ATTEMPT_STARTED, S.TASK_ATTEMPT_FINISHED)
-    head = F.to_json(
-        F.struct(
-            F.array(
-                F.struct(F.col("eventType").alias("eventtype"), F.col("eventTime").alias("timestamp"))
-            ).alias("events"),
-            F.when(is_attempt, F.col("taskAttemptId")).otherwise(F.col("vertexId")).alias("entity"),
-            F.when(is_attempt, "TEZ_TASK_ATTEMPT_ID").otherwise("TEZ_VERTEX_ID").alias("entitytype"),
-            F.struct(
-                one(F.col("appId")).alias("applicationId"),
-                one(F.col("dagId")).alias("TEZ_DAG_ID"),
-                F.when(is_attempt, one(F.col("vertexId"))).alias("TEZ_VERTEX_ID"),
-                one(F.col("taskId")).alias("TEZ_TASK_ID"),
-            ).alias("primaryfilters"),
-        )
+    texts = history.selectExpr(
+        "srcFile",
+        "srcPos",
+        """to_json(struct(
+             array(struct(eventType as eventtype, eventTime as timestamp)) as events,
+             if(eventType = 'VERTEX_INITIALIZED', vertexId, taskAttemptId) as entity,
+             if(eventType = 'VERTEX_INITIALIZED', 'TEZ_VERTEX_ID', 'TEZ_TASK_ATTEMPT_ID') as entitytype,
+             struct(
+               array(appId) as applicationId,
+               array(dagId) as TEZ_DAG_ID,
+               if(eventType = 'VERTEX_INITIALIZED', null, array(vertexId)) as TEZ_VERTEX_ID,
+               array(taskId) as TEZ_TASK_ID) as primaryfilters)) as head""",
+        """array_join(transform(eventData, p -> concat(
+             '"', p.key, '":',
+             if(startswith(p.value, '{'), p.value, concat('"', p.value, '"')))), ',') as info""",
     )
-    text = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"otherinfo":'), other, F.lit("}"))
-    marker = F.concat(
-        F.lit('{"entity":"marker_'), F.col("srcPos").cast("string"), F.lit('","events":[],"otherinfo":{}}')
+    return texts.selectExpr(
+        """concat(
+             if(srcPos % 2 = 0, concat('{"entity":"marker_', srcPos, '","events":[],"otherinfo":{}} '), ''),
+             left(head, length(head) - 1), ',"otherinfo":{', info, '}}') as line""",
+        "srcFile",
     )
-    line = F.when(F.col("srcPos") % 2 == 0, F.concat(marker, text)).otherwise(text)
-    return history.select(line.alias("line"), "srcFile")
