@@ -164,6 +164,13 @@ select applicationID, type, count(*) as count, min(timeTaken) as minTime, max(ti
  group by applicationID, type
 """
 
+_UNSET = [
+    "hdfsBytesWritten", "hdfsReadOps", "hdfsWriteOps", "inputRecords", "inputSplitLengthBytes",
+    "createdFiles", "allocatedBytes", "allocatedUsedBytes", "cacheMissBytes", "consumerTimeNano",
+    "decodeTimeNano", "hdfsTimeNano", "metaDataCacheMiss", "decodeBatches", "vectorBatches",
+    "selRowGroups", "totalIONano", "specQueueNano", "specRunningNano",
+]
+
 _FEATURES = f"{_HISTORY} select * from features"
 
 
@@ -322,4 +329,16 @@ def oracle_sql() -> dict[str, str]:
         "limited_events": f"{_HISTORY} select {_IDS} from hist order by srcPos limit 100",
         "run_job_features": _FEATURES,
         "run_job_times": _TIMES,
+        # one attempt per event there, so every row is joined with itself
+        "stream_task_features": f"""
+            {_HISTORY}, again as (
+              select eventTime, concat('host', k % 10, ':', k + 15000) as nodeID,
+                     concat('container_', k) as contID, appId as applID,
+                     concat('vertex_', srcPos) as vertexID, dagId as dagID, concat('task_', srcPos) as taskID,
+                     case k % 10 when 0 then 'KILLED' when 1 then 'FAILED' else 'SUCCEEDED' end as status,
+                     srcPos as hdfsBytesRead, ms as taskDurationMillis, k as rowsEmitted,
+                     concat(case when u % 3 = 0 then 'Map ' else 'Reducer ' end, k % 5) as vertexName,
+                     k as vertexNumTasks
+                from hist where u % 4 <> 0)
+            select again.*, {', '.join(f'cast(null as bigint) as {c}' for c in _UNSET)} from again""",
     }

@@ -17,6 +17,7 @@ from dagtrail.sources import entitylog, tables
 from dagtrail.sources.history import stage_events, write_history
 from dagtrail.sources.paths import shared_folder
 from dagtrail.sources.report import read_task_report, write_task_report
+from dagtrail.streaming.features import stream_task_features, write_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -93,6 +94,15 @@ def _job(processor: str, columns: list[str]) -> Query:
     return run
 
 
+def _stream_task_features(spark: SparkSession, folder: str) -> DataFrame:
+    # as a pattern the path may be a single file, which a stream otherwise refuses
+    raw = spark.readStream.schema(tables.RAW_EVENTS).parquet(f"{folder}/[e]vents.parquet")
+    report, checkpoint = shared_folder(spark, "report"), shared_folder(spark, "stream")
+    features = stream_task_features(tables.attempts_from(raw))
+    write_stream(features, report, checkpoint).awaitTermination()
+    return spark.read.schema(S.TASK_REPORT).parquet(report)
+
+
 def _manifest_by_app(spark: SparkSession, folder: str) -> DataFrame:
     manifest = tables.manifest_from_events(spark, folder)
     return C.manifest_app_ids(manifest).join(
@@ -142,6 +152,7 @@ def queries() -> dict[str, Query]:
         "limited_events": _on_history(lambda e: _ids(C.limited_events(e, 100, ["srcPos"]))),
         "run_job_features": _job("task_features", S.REPORT_COLUMNS),
         "run_job_times": _job("task_times", S.TIME_COLUMNS),
+        "stream_task_features": _stream_task_features,
     }
 
 

@@ -131,6 +131,36 @@ def history_from(raw: DataFrame) -> DataFrame:
     )
 
 
+def attempts_from(raw: DataFrame) -> DataFrame:
+    """One attempt per event, with its vertex, start and finish; batch or stream.
+
+    All ids are unique, as they are in real histories.
+    """
+    named = raw.selectExpr(
+        "event_id",
+        "user_id",
+        "cast(regexp_extract(props, '[0-9]+', 0) as bigint) as k",
+        "cast(floor(value * 100) as bigint) as ms",
+        "unix_millis(cast(ts as timestamp)) as eventTime",
+    )
+    kinds = ", ".join(
+        f"struct('{made[0]}' as eventType, {made[1]} as eventData)"
+        for made in (_HISTORY[raw_type] for raw_type in ("click", "view", "purchase"))
+    )
+    return named.selectExpr("*", f"inline(array({kinds}))").selectExpr(
+        "eventType",
+        "eventTime",
+        "concat('app_', user_id % 7) as appId",
+        "concat('dag_', user_id % 35) as dagId",
+        "concat('vertex_', event_id) as vertexId",
+        "concat('task_', event_id) as taskId",
+        "concat('attempt_', event_id) as taskAttemptId",
+        "eventData",
+        "'events' as srcFile",
+        "event_id as srcPos",
+    )
+
+
 def history_from_events(spark: SparkSession, folder: str) -> DataFrame:
     return history_from(table(spark, folder, "events"))
 

@@ -41,6 +41,5 @@ def test_entry_returns_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_all_batch_queries_have_an_oracle():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing <= {"stream_task_features"}
+def test_every_query_has_an_oracle():
+    assert set(entry.queries()) == set(entry.oracle_sql())
