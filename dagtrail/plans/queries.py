@@ -88,7 +88,7 @@ def _job(processor: str, columns: list[str]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         landing, report = shared_folder(spark, "landing"), shared_folder(spark, "report")
         write_history(tables.history_from_events(spark, folder), landing)
-        run_job(spark, processor, landing, report)
+        run_job(spark, processor, landing, report, has_positions=True)
         return spark.read.parquet(report).select(*columns)
 
     return run

@@ -21,18 +21,18 @@ def _reader(spark: SparkSession, file_format: str, skip_damaged_files: bool):
     return reader
 
 
-def with_position(events: DataFrame, has_row_index: bool = False) -> DataFrame:
+def positioned(events: DataFrame, file_format: str) -> DataFrame:
     """Fill `srcFile` and `srcPos` where the data does not carry them.
 
     Parquet knows the row index within its file. For other formats the running id is
     unique, and rises along each file because splits of a file are read in order.
     """
-    if "srcFile" not in events.columns:
-        events = events.withColumn("srcFile", F.col("_metadata.file_path"))
-    if "srcPos" not in events.columns:
-        position = F.col("_metadata.row_index") if has_row_index else F.monotonically_increasing_id()
-        events = events.withColumn("srcPos", position)
-    return events
+    index = F.col("_metadata.row_index") if file_format == "parquet" else F.monotonically_increasing_id()
+    filled = {
+        "srcFile": F.coalesce("srcFile", F.col("_metadata.file_path")),
+        "srcPos": F.coalesce("srcPos", index),
+    }
+    return events.select(*[filled.get(c, F.col(c)).alias(c) for c in S.HISTORY_EVENT])
 
 
 def read_history(
@@ -40,25 +40,18 @@ def read_history(
     path: str,
     file_format: str = "parquet",
     skip_damaged_files: bool = False,
+    has_positions: bool = False,
 ) -> DataFrame:
-    """Scan all history events below a directory.
+    """Scan all history events below a directory; absent columns are NULL.
 
     `skip_damaged_files` keeps what was read of a file that ends early instead of
-    failing the job.
+    failing the job. `has_positions` says that every event carries `srcFile` and
+    `srcPos`, as in tables written here, so that none have to be made up.
     """
-    reader = _reader(spark, file_format, skip_damaged_files)
+    reader = _reader(spark, file_format, skip_damaged_files).schema(S.ddl(S.HISTORY_EVENT))
     require_directory(spark, path)
-    if file_format == "parquet":
-        events = with_position(reader.parquet(path), has_row_index=True)
-    else:
-        events = with_position(reader.schema(S.ddl(_payload())).json(path))
-    missing = {c: kind for c, kind in S.HISTORY_EVENT.items() if c not in events.columns}
-    absent = [F.lit(None).cast(kind).alias(c) for c, kind in missing.items()]
-    return events.select("*", *absent).select(*[F.col(c).cast(k).alias(c) for c, k in S.HISTORY_EVENT.items()])
-
-
-def _payload() -> dict[str, str]:
-    return {c: k for c, k in S.HISTORY_EVENT.items() if c not in S.IDENTITY}
+    events = reader.parquet(path) if file_format == "parquet" else reader.json(path)
+    return events if has_positions else positioned(events, file_format)
 
 
 def write_history(events: DataFrame, path: str) -> None:
@@ -76,7 +69,7 @@ def stage_events(events: DataFrame, label: str = "events") -> DataFrame:
     spark = events.sparkSession
     path = shared_folder(spark, label)
     write_history(events, path)
-    return read_history(spark, path)
+    return read_history(spark, path, has_positions=True)
 
 
 def read_manifest(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:

@@ -15,20 +15,21 @@ from dagtrail.functions.payload import blank, kv, with_counters
 from dagtrail.operators.features import attempt_finishes
 from dagtrail.operators.vertices import vertices
 from dagtrail.sources.entitylog import FILE_GLOB, to_events
-from dagtrail.sources.history import with_position
+from dagtrail.sources.history import positioned
 from dagtrail.sources.paths import require_directory
 
 
 def stream_history(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    """Events of a growing directory of event tables that carry no position of their own."""
+    """Events of a growing directory of event tables, in the batch schema.
+
+    Only Parquet gives events a position; streams do not need one.
+    """
     require_directory(spark, path)
-    columns = {c: k for c, k in S.HISTORY_EVENT.items() if c not in S.IDENTITY}
-    reader = spark.readStream.schema(S.ddl(columns)).option("recursiveFileLookup", True)
+    reader = spark.readStream.schema(S.ddl(S.HISTORY_EVENT)).option("recursiveFileLookup", True)
     if file_format == "parquet":
-        return with_position(reader.parquet(path), has_row_index=True)
+        return positioned(reader.parquet(path), file_format)
     if file_format == "json":
-        source = F.col("_metadata.file_path").alias("srcFile")
-        return reader.json(path).select("*", source, F.lit(None).cast("bigint").alias("srcPos"))
+        return reader.json(path)
     raise ValueError(f"unknown file format {file_format!r}, expected parquet or json")
 
 
