@@ -5,38 +5,44 @@ from pyspark.sql import functions as F
 
 from dagtrail import schemas as S
 from dagtrail.functions.payload import kv, with_counters
-from dagtrail.operators.callers import order_key
 from dagtrail.operators.lookup import lookup_join
 from dagtrail.operators.vertices import attempt_starts, llap_vertices
 
 
+# What tells two finishes apart: the attempt, and the place in the order of events.
+FINISH = ["taskAttemptId", *S.ORDER]
+
+
 def attempt_finishes(events: DataFrame) -> DataFrame:
-    return events.where(F.col("eventType") == S.TASK_ATTEMPT_FINISHED)
+    """Attempt finishes; what tells them apart is never NULL, an id not set is blank."""
+    unset = {"taskAttemptId": "", "eventTime": 0, "srcFile": "", "srcPos": -1}
+    finishes = events.where(F.col("eventType") == S.TASK_ATTEMPT_FINISHED)
+    return finishes.withColumns({c: F.coalesce(c, F.lit(unset[c])) for c in FINISH})
 
 
 def finish_context(events: DataFrame) -> DataFrame:
-    """Vertex and placement of every finish of an LLAP attempt, keyed by its identity.
+    """Vertex and placement of every finish of an LLAP attempt.
 
-    A start belongs to the first finish of its attempt only. The first finish is an
-    aggregate, and is then matched by event identity instead of attempt id: no
-    window is needed, and an attempt id with very many finishes is no hot key.
-    Only ids travel here, the payload of the finishes does not.
+    A start belongs to the first finish of its attempt only. That finish is found by
+    an aggregate and then matched as a whole, not by attempt id: no window is needed,
+    and an attempt id with very many finishes is no hot key. Only ids travel here, the
+    payload of the finishes does not. The aggregate carries the vertex along, which it
+    has no use for, so that both uses of `llap` read the same columns and Spark
+    shuffles them once.
     """
-    keys = attempt_finishes(events).select("taskAttemptId", "vertexId", *S.ORDER)
+    keys = attempt_finishes(events).select("vertexId", *FINISH)
     names = llap_vertices(events).select("vertexId", "vertexName", F.col("numTasks").alias("vertexNumTasks"))
-    llap = lookup_join(keys, names, "vertexId", S.IDENTITY)
-    first = (
-        llap.where(F.col("taskAttemptId").isNotNull())
-        .groupBy("taskAttemptId")
-        .agg(F.min(order_key()).alias("first"))
+    llap = lookup_join(keys, names, "vertexId", S.IDENTITY).drop("vertexId")
+    first = llap.groupBy("taskAttemptId").agg(
+        F.min(F.struct(*S.ORDER, "vertexName", "vertexNumTasks")).alias("first")
     )
     placed = first.join(attempt_starts(events), "taskAttemptId").select(
-        F.col("first.srcFile").alias("srcFile"),
-        F.col("first.srcPos").alias("srcPos"),
+        "taskAttemptId",
+        *[F.col(f"first.{c}").alias(c) for c in S.ORDER],
         F.col("nodeId").alias("nodeID"),
         F.col("containerId").alias("contID"),
     )
-    return llap.drop("taskAttemptId", "vertexId", "eventTime").join(placed, S.IDENTITY, "left")
+    return llap.join(placed, FINISH, "left")
 
 
 def task_features(events: DataFrame) -> DataFrame:
@@ -46,14 +52,13 @@ def task_features(events: DataFrame) -> DataFrame:
     as a JSON text, and it moves once.
     """
     finishes = attempt_finishes(events).select(
-        "eventTime",
+        *FINISH,
         F.col("appId").alias("applID"),
         F.col("vertexId").alias("vertexID"),
         F.col("dagId").alias("dagID"),
         F.col("taskId").alias("taskID"),
         kv("status").alias("status"),
         "eventData",
-        *S.IDENTITY,
     )
-    rows = with_counters(finishes).join(finish_context(events), S.IDENTITY)
+    rows = with_counters(finishes).join(finish_context(events), FINISH)
     return rows.select(*S.REPORT_COLUMNS)

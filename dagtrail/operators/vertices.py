@@ -38,10 +38,11 @@ def llap_vertices(events: DataFrame) -> DataFrame:
 
 
 def attempt_starts(events: DataFrame) -> DataFrame:
-    """The latest placement (node and container) of each attempt."""
-    starts = events.where((F.col("eventType") == S.TASK_ATTEMPT_STARTED) & F.col("taskAttemptId").isNotNull())
+    """The latest placement (node and container) of each attempt; an id not set is blank."""
+    starts = events.where(F.col("eventType") == S.TASK_ATTEMPT_STARTED)
+    attempt = F.coalesce("taskAttemptId", F.lit("")).alias("taskAttemptId")
     placed = starts.select(
-        "taskAttemptId", kv("nodeId").alias("nodeId"), kv("containerId").alias("containerId"), *S.ORDER
+        attempt, kv("nodeId").alias("nodeId"), kv("containerId").alias("containerId"), *S.ORDER
     )
     latest = placed.groupBy("taskAttemptId").agg(
         F.max_by(F.struct("nodeId", "containerId"), order_key()).alias("p")

@@ -13,7 +13,8 @@ from dagtrail.operators.features import attempt_finishes, task_features
 from dagtrail.operators.times import task_times, time_detail
 from dagtrail.operators.vertices import attempt_starts, llap_vertices, task_finishes
 from dagtrail.plans.jobs import run_job
-from dagtrail.sources import entitylog, tables
+from dagtrail.sources import tables
+from dagtrail.sources.events import read_events
 from dagtrail.sources.history import stage_events, write_history
 from dagtrail.sources.paths import shared_folder
 from dagtrail.sources.report import read_task_report, write_task_report
@@ -34,14 +35,18 @@ def _on_averages(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return _on_succeeded(lambda succ: fn(stats.averages_by_node(succ)))
 
 
-def _on_history(fn: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, folder: fn(tables.history_from_events(spark, folder))
+def _on_history(fn: Callable[[DataFrame], DataFrame], *types: str) -> Query:
+    return lambda spark, folder: fn(tables.history_from_events(spark, folder, list(types) or None))
 
 
 def _on_entities(fn: Callable[[DataFrame], DataFrame]) -> Query:
+    """Write the events as entity logs, read them back and go on from there."""
+
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        history = C.filter_event_types(tables.history_from_events(spark, folder), S.FEATURE_TYPES)
-        return fn(entitylog.to_events(tables.entity_lines_from(history)))
+        logs = shared_folder(spark, "entitylogs")
+        history = tables.history_from_events(spark, folder, S.FEATURE_TYPES)
+        tables.entity_lines_from(history).write.text(logs)
+        return fn(read_events(spark, logs, "ats", file_glob="part-*"))
 
     return run
 
@@ -129,23 +134,23 @@ def queries() -> dict[str, Query]:
         "task_report_roundtrip": _report_roundtrip,
         "filter_event_types": _on_history(lambda e: _ids(C.filter_event_types(e, S.TIME_TYPES))),
         "event_kv": _on_history(_event_kv),
-        "dag_callers": _on_history(C.dag_callers),
+        "dag_callers": _on_history(C.dag_callers, S.DAG_SUBMITTED),
         "events_with_caller": _on_history(lambda e: _ids(C.with_caller(e))),
-        "caller_ids": _on_history(lambda e: C.caller_ids(e, S.TIME_TYPES)),
+        "caller_ids": _on_history(lambda e: C.caller_ids(e, S.TIME_TYPES), S.DAG_SUBMITTED, *S.TIME_TYPES),
         "events_for_caller": _on_history(lambda e: _ids(C.events_for_caller(e, "caller_3"))),
-        "app_ids": _on_history(lambda e: C.app_ids(e, S.TIME_TYPES)),
+        "app_ids": _on_history(lambda e: C.app_ids(e, S.TIME_TYPES), S.DAG_SUBMITTED, *S.TIME_TYPES),
         "events_for_app": _on_history(lambda e: _ids(C.events_for_app(e, "app_3"))),
         "manifest_by_app": _manifest_by_app,
         "events_for_manifest": _events_for_manifest,
         "ingest_summary": _on_history(lambda e: C.ingest_summary(e, S.TIME_TYPES)),
-        "llap_vertices": _on_history(llap_vertices),
-        "task_finishes": _on_history(_succeeded_finishes),
-        "task_times": _on_history(task_times),
-        "time_detail": _on_history(time_detail),
-        "attempt_placement": _on_history(attempt_starts),
-        "counter_values": _on_history(_counter_values),
-        "task_duration": _on_history(_task_duration),
-        "task_features": _on_history(task_features),
+        "llap_vertices": _on_history(llap_vertices, S.VERTEX_INITIALIZED),
+        "task_finishes": _on_history(_succeeded_finishes, S.TASK_FINISHED),
+        "task_times": _on_history(task_times, S.DAG_SUBMITTED, *S.TIME_TYPES),
+        "time_detail": _on_history(time_detail, S.DAG_SUBMITTED, *S.TIME_TYPES),
+        "attempt_placement": _on_history(attempt_starts, S.TASK_ATTEMPT_STARTED),
+        "counter_values": _on_history(_counter_values, S.TASK_ATTEMPT_FINISHED),
+        "task_duration": _on_history(_task_duration, S.TASK_ATTEMPT_FINISHED),
+        "task_features": _on_history(task_features, *S.FEATURE_TYPES),
         "ats_events": _on_entities(lambda e: e.drop("srcFile", "srcPos", "eventData")),
         "ats_event_data": _on_entities(_ats_event_data),
         "ats_task_features": _on_entities(lambda e: task_features(stage_events(e))),

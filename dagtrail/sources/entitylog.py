@@ -23,11 +23,11 @@ def _candidate():
     return reduce(or_, spelled)
 
 
-def read_entity_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_entity_lines(spark: SparkSession, path: str, file_glob: str = FILE_GLOB) -> DataFrame:
     """All lines of the entity logs below a directory, other files are left out."""
     require_directory(spark, path)
     lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", FILE_GLOB).text(path)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_glob).text(path)
     )
     return lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("srcFile"))
 
@@ -63,9 +63,9 @@ def to_events(lines: DataFrame) -> DataFrame:
     )
 
 
-def read_ats(spark: SparkSession, path: str) -> DataFrame:
+def read_ats(spark: SparkSession, path: str, file_glob: str = FILE_GLOB) -> DataFrame:
     """Entity logs below a directory as history events."""
-    return to_events(read_entity_lines(spark, path))
+    return to_events(read_entity_lines(spark, path, file_glob))
 
 
 def entity_summary(lines: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ The two mappings give realistic, skewed-by-choice inputs for the registered quer
 they only project columns, so a query grows with the table it reads.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 
 from dagtrail import schemas as S
@@ -100,15 +102,8 @@ _HISTORY = {
 }
 
 
-def _by_type(position: int) -> str:
-    """Expression that picks the event type (0) or the payload (1)."""
-    text = (lambda x: f"'{x}'") if position == 0 else str
-    branches = " ".join(f"when '{raw}' then {text(made[position])}" for raw, made in _HISTORY.items())
-    return f"case event_type {branches} end"
-
-
-def history_from(raw: DataFrame) -> DataFrame:
-    """History events from the general event table; batch or stream."""
+def _typed(raw: DataFrame, event_type: str, event_data: str) -> DataFrame:
+    """History events from raw ones, given expressions for type and payload."""
     named = raw.selectExpr(
         "event_id",
         "user_id",
@@ -118,19 +113,38 @@ def history_from(raw: DataFrame) -> DataFrame:
         "unix_millis(cast(ts as timestamp)) as eventTime",
     )
     return named.selectExpr(
-        f"{_by_type(0)} as eventType",
+        f"{event_type} as eventType",
         "eventTime",
         "concat('app_', user_id % 7) as appId",
         "concat('dag_', user_id % 35) as dagId",
         "concat('vertex_', user_id) as vertexId",
         "concat('task_', user_id, '_', k % 20) as taskId",
         "concat('attempt_', user_id, '_', k % 20) as taskAttemptId",
-        f"{_by_type(1)} as eventData",
+        f"{event_data} as eventData",
         "'events' as srcFile",
         "event_id as srcPos",
     )
 
 
+def history_from(raw: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """History events from the general event table.
+
+    Without types, one scan makes all events. With types, each is a scan of its own
+    with the type as a constant: an operator that asks for one type then gets its
+    filter pushed to the files, and the scans of the other types vanish.
+    """
+    if types is None:
+        kinds = " ".join(f"when '{name}' then '{made}'" for name, (made, _) in _HISTORY.items())
+        data = " ".join(f"when '{name}' then {pairs}" for name, (_, pairs) in _HISTORY.items())
+        return _typed(raw, f"case event_type {kinds} end", f"case event_type {data} end")
+    branches = [
+        _typed(raw.where(f"event_type = '{name}'"), f"'{made}'", pairs)
+        for name, (made, pairs) in _HISTORY.items()
+        if made in types
+    ]
+    return reduce(DataFrame.unionByName, branches)
+
+
 def attempts_from(raw: DataFrame) -> DataFrame:
     """One attempt per event, with its vertex, start and finish; batch or stream.
 
@@ -161,8 +175,8 @@ def attempts_from(raw: DataFrame) -> DataFrame:
     )
 
 
-def history_from_events(spark: SparkSession, folder: str) -> DataFrame:
-    return history_from(table(spark, folder, "events"))
+def history_from_events(spark: SparkSession, folder: str, types: list[str] | None = None) -> DataFrame:
+    return history_from(table(spark, folder, "events"), types)
 
 
 def manifest_from_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,7 +193,6 @@ def entity_lines_from(history: DataFrame) -> DataFrame:
     object is a marker without an event.
     """
     texts = history.selectExpr(
-        "srcFile",
         "srcPos",
         """to_json(struct(
              array(struct(eventType as eventtype, eventTime as timestamp)) as events,
@@ -197,6 +210,5 @@ def entity_lines_from(history: DataFrame) -> DataFrame:
     return texts.selectExpr(
         """concat(
              if(srcPos % 2 = 0, concat('{"entity":"marker_', srcPos, '","events":[],"otherinfo":{}} '), ''),
-             left(head, length(head) - 1), ',"otherinfo":{', info, '}}') as line""",
-        "srcFile",
+             left(head, length(head) - 1), ',"otherinfo":{', info, '}}') as line"""
     )

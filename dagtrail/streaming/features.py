@@ -66,7 +66,9 @@ def _llap_names(events: DataFrame, delay: str, slices: int) -> DataFrame:
 
 
 def _placements(events: DataFrame, delay: str, horizon: str) -> DataFrame:
-    """Node and container of the first finish of an attempt, keyed by attempt and time."""
+    """Node and container of the first finish of an attempt, keyed by attempt and time.
+
+    Attempts without an id get none: they would all share one key of the state."""
     named = events.where(~blank(F.col("taskAttemptId")))
     starts = named.where(F.col("eventType") == S.TASK_ATTEMPT_STARTED).select(
         F.col("taskAttemptId").alias("startedId"), kv("nodeId").alias("nodeID"),

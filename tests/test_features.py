@@ -92,8 +92,9 @@ def test_finishes_at_the_same_time_are_told_apart(spark):
 
 
 def test_attempts_without_id(spark):
-    df = frame(spark, [vertex("v"), start(None), finish(None, time=1), start(""), finish("", time=2)])
-    assert [r[2] for r in placed(df)] == [None, "host:1"]
+    starts = [start(None, node="old:1", time=1), start("", node="new:1", time=2)]
+    df = frame(spark, [vertex("v"), *starts, finish(None, time=3), finish("", time=4)])
+    assert [r[2] for r in placed(df)] == ["new:1", None]
 
 
 def test_partial_placement(spark):
