@@ -6,13 +6,19 @@ from pyspark.sql import functions as F
 from dagtrail import schemas as S
 
 
+def _text(value: str) -> str:
+    """A text literal in SQL."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def kv(name: str, data: str = "eventData") -> Column:
     """Value of the first pair with the key, NULL if there is none.
 
     Works on the two field arrays with `array_position`, so the lookup stays in
     generated code; position 0 (absent) becomes index -1, which `get` maps to NULL.
     """
-    return F.expr(f"get({data}.value, cast(array_position({data}.key, '{name}') as int) - 1)")
+    return F.expr(f"get({data}.value, cast(array_position({data}.key, {_text(name)}) as int) - 1)")
 
 
 def kv_or_blank(name: str, data: str = "eventData") -> Column:
@@ -85,7 +91,7 @@ def counters(document: Column, names: list[str]) -> Column:
 
 def counter(name: str, picked: str = "_counters") -> Column:
     """Value of the first counter with the name, even if that value is NULL."""
-    position = f"cast(array_position({picked}.counterName, '{name}') as int)"
+    position = f"cast(array_position({picked}.counterName, {_text(name)}) as int)"
     return F.expr(f"try_cast(get({picked}.counterValue, {position} - 1) as bigint)")
 
 

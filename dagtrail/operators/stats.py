@@ -100,12 +100,16 @@ def node_distance(averages: DataFrame) -> DataFrame:
 
 
 def cluster_skew(succ: DataFrame) -> DataFrame:
-    """Total map time per host and its share of the busiest host."""
+    """Total map time per host and its share of the busiest host.
+
+    The busiest host is looked for in the same totals, columns included, so that they
+    are computed once."""
     maps = succ.where(F.col("taskType") == "Map")
     totals = maps.groupBy("hostname").agg(
         F.sum(S.DURATION_COLUMN).alias("totalTimeMS"), F.count(F.lit(1)).alias("numTasks")
     )
-    busiest = totals.agg(F.max("totalTimeMS").cast("decimal(19,0)")).scalar()
+    top = totals.agg(F.max(F.struct("totalTimeMS", "numTasks")).alias("top"))
+    busiest = top.select("top.totalTimeMS").scalar().cast("decimal(19,0)")
     share = F.col("totalTimeMS").cast("decimal(19,0)") * 100 / busiest
     return totals.select(
         F.col("hostname").alias("hostName"),

@@ -11,10 +11,16 @@ from dagtrail.operators.lookup import lookup_join
 from dagtrail.operators.vertices import latest_llap, task_finishes, vertices
 
 
+def _ids(events: DataFrame, event_type: str) -> DataFrame:
+    """Ids of all events of a type: enough to weigh join keys without reading payloads."""
+    return events.where(F.col("eventType") == event_type).select("dagId", "vertexId")
+
+
 def _known_vertices(events: DataFrame) -> DataFrame:
     """Vertices as a collecting job sees them; `vertexAppId` is their application."""
     inits = vertices(events).where(F.col("isLlap") & ~blank(F.col("appId")))
-    seen = latest_llap(lookup_join(inits, dag_callers(events), "dagId", S.IDENTITY))
+    ids = _ids(events, S.VERTEX_INITIALIZED)
+    seen = latest_llap(lookup_join(inits, dag_callers(events), "dagId", S.IDENTITY, weigh=ids))
     return seen.select("vertexId", F.col("appId").alias("vertexAppId"), F.col("opType").alias("type"))
 
 
@@ -22,11 +28,6 @@ def _successes(events: DataFrame) -> DataFrame:
     return task_finishes(events).where(F.col("wasSuccessful") & ~blank(F.col("appId")))
 
 
-def _task_ids(events: DataFrame) -> DataFrame:
-    """Ids of all task finishes: enough to weigh join keys without reading payloads."""
-    return events.where(F.col("eventType") == S.TASK_FINISHED).select("dagId", "vertexId")
-
-
 def _same_application():
     """The application of task and vertex; the job fails if they differ."""
     message = F.concat(F.lit("application of a task differs from that of vertex "), F.col("vertexId"))
@@ -45,9 +46,8 @@ def task_times(events: DataFrame) -> DataFrame:
         .groupBy("dagId", "vertexId", "appId")
         .agg(*collect_moments("timeTaken"), F.min("timeTaken").alias("lo"), F.max("timeTaken").alias("hi"))
     )
-    called = lookup_join(
-        per_vertex, dag_callers(events), "dagId", ["vertexId", "appId"], weigh=_task_ids(events)
-    )
+    ids = _ids(events, S.TASK_FINISHED)
+    called = lookup_join(per_vertex, dag_callers(events), "dagId", ["vertexId", "appId"], weigh=ids)
     typed = called.join(_known_vertices(events), "vertexId")
     groups = (
         typed.select(_same_application().alias("applicationID"), "type", "n", "s", "q", "lo", "hi")
@@ -67,7 +67,7 @@ def task_times(events: DataFrame) -> DataFrame:
 
 def time_detail(events: DataFrame) -> DataFrame:
     """One row per task that the time report counts."""
-    ids = _task_ids(events)
+    ids = _ids(events, S.TASK_FINISHED)
     called = lookup_join(_successes(events), dag_callers(events), "dagId", S.IDENTITY, weigh=ids)
     typed = lookup_join(called, _known_vertices(events), "vertexId", S.IDENTITY, weigh=ids)
     return typed.select(

@@ -8,10 +8,14 @@ from dagtrail.operators.stats import succ_task_events
 from dagtrail.sources.paths import require_directory
 
 
+# Text as the report database loads it: quotes are doubled, blank is unknown.
+TEXT_OPTIONS = {"sep": "|", "header": True, "escape": '"', "emptyValue": ""}
+
+
 def _write(df: DataFrame, path: str, file_format: str) -> None:
     writer = df.write.mode("overwrite")
     if file_format == "csv":
-        writer.option("sep", "|").option("header", True).csv(path)
+        writer.options(**TEXT_OPTIONS).csv(path)
     elif file_format == "parquet":
         writer.parquet(path)
     else:
@@ -34,7 +38,7 @@ def read_task_report(spark: SparkSession, path: str, file_format: str = "csv") -
     require_directory(spark, path)
     reader = spark.read.schema(S.TASK_REPORT)
     if file_format == "csv":
-        return reader.option("sep", "|").option("header", True).csv(path)
+        return reader.options(**TEXT_OPTIONS).csv(path)
     return reader.parquet(path)
 
 

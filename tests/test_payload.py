@@ -28,6 +28,11 @@ def test_first_pair_with_the_key_wins(spark):
     assert one(df, P.kv_or_blank("absent")) == ""
 
 
+@pytest.mark.parametrize("key", ["it's", 'a"b', "a\\b", "a b", ""])
+def test_any_key(spark, key):
+    assert one(frame(spark, [event("X", [("other", "1"), (key, "2")])]), P.kv(key)) == "2"
+
+
 def test_lookup_in_missing_payload(spark):
     df = frame(spark, [event("X")]).withColumn("eventData", F.lit(None).cast(S.HISTORY_EVENT["eventData"]))
     assert one(df, P.kv("a")) is None
