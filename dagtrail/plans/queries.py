@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagtrail import schemas as S
-from dagtrail.functions.payload import counter, counters, kv, kv_or_blank, task_duration
+from dagtrail.functions.payload import counter_values, kv, kv_or_blank, task_duration
 from dagtrail.operators import callers as C
 from dagtrail.operators import stats
 from dagtrail.operators.features import attempt_finishes, task_features
@@ -69,14 +69,13 @@ def _event_kv(events: DataFrame) -> DataFrame:
 
 def _counter_values(events: DataFrame) -> DataFrame:
     names = ["HDFS_BYTES_READ", "ROWS_EMITTED", "CREATED_FILES"]
-    picked = attempt_finishes(events).withColumn("_counters", counters(kv("counters"), names))
-    return picked.select("srcPos", *[counter(n).alias(n) for n in names])
+    found = attempt_finishes(events).withColumn("values", counter_values(kv("counters"), names))
+    return found.select("srcPos", *[F.get("values", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
 def _task_duration(events: DataFrame) -> DataFrame:
-    finishes = attempt_finishes(events)
-    picked = finishes.withColumn("_counters", counters(kv("counters"), [S.DURATION_COUNTER]))
-    return picked.select("srcPos", task_duration().alias("duration"))
+    counter = F.get(counter_values(kv("counters"), [S.DURATION_COUNTER]), F.lit(0))
+    return attempt_finishes(events).select("srcPos", task_duration(counter).alias("duration"))
 
 
 def _succeeded_finishes(events: DataFrame) -> DataFrame:
