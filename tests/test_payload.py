@@ -99,6 +99,14 @@ def test_first_counter_over_all_groups_wins_even_with_null(spark):
     assert (row.hdfsBytesRead, row.hdfsReadOps, row.hdfsWriteOps) == (None, 1, None)
 
 
+@pytest.mark.parametrize(
+    "value, number", [("x", None), ("12", 12), (1.5, None), (True, None), ([1], None), (-7, -7), (10**25, None)]
+)
+def test_a_counter_that_is_no_whole_number_loses_only_itself(spark, value, number):
+    row = features(spark, counters=counter_doc([("HDFS_BYTES_READ", value), ("HDFS_READ_OPS", 1)]))
+    assert (row.hdfsBytesRead, row.hdfsReadOps) == (number, 1)
+
+
 @pytest.mark.parametrize(
     "odd_group",
     [5, "text", None, [], {}, {"counters": 5}, {"counters": {"counterName": "HDFS_BYTES_READ"}}, {"counters": [7, None]}],
