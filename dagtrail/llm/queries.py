@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dagtrail.llm import token_table
+from dagtrail.llm import packing, simhash, token_table
 from dagtrail.llm.common import table
 from dagtrail.sources.paths import shared_folder
 
@@ -20,8 +20,19 @@ def _token_table(spark: SparkSession, folder: str) -> DataFrame:
     return token_table.token_digests(token_table.read_token_table(spark, path))
 
 
+def _pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), WORD_BPE, end_id=0, capacity=2048)
+
+
+def _simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents"))
+    return found.withColumn("fingerprint", simhash.hexadecimal(found.fingerprint))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_best_fit_packing": _pack,
+        "op7_simhash": _simhash,
         "op8_token_table": _token_table,
     }
 
