@@ -5,13 +5,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from dagtrail.llm import packing, simhash, token_table
+from dagtrail.llm import packing, quality, secrets, simhash, token_table
 from dagtrail.llm.common import table
 from dagtrail.sources.paths import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _token_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,6 +25,14 @@ def _pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), WORD_BPE, end_id=0, capacity=2048)
 
 
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents"), PIECE_BPE)
+
+
+def _secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, folder, "documents"))
+
+
 def _simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.withColumn("fingerprint", simhash.hexadecimal(found.fingerprint))
@@ -32,8 +41,10 @@ def _simhash(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_best_fit_packing": _pack,
+        "op5_quality": _quality,
         "op7_simhash": _simhash,
         "op8_token_table": _token_table,
+        "op9_secrets": _secrets,
     }
 
 
