@@ -4,11 +4,29 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dagtrail.llm import packing, quality, secrets, simhash, token_table
+from dagtrail.llm import packing, quality, secrets, simhash, token_table, topk
 from dagtrail.llm.common import table
 from dagtrail.sources.paths import shared_folder
 
+# candidates are numbered, so that rows of one id are told apart
+_TOP_K_SQL = """
+with usable as (
+    select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(64 * x::double) as bigint)) as v
+      from embeddings
+     where vec_id is not null and embedding is not null
+       and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+scored as (
+    select q.r, q.vec_id as query_id, c.vec_id,
+           cast(list_inner_product(q.v::double[], c.v::double[]) as bigint) as score
+      from usable q join usable c on q.r <> c.r
+     where q.vec_id % 20 = 0)
+select query_id, cast(row_number() over (partition by r order by score desc, vec_id) as integer) as rank, vec_id, score
+  from scored
+qualify rank <= 20
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +56,11 @@ def _simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("fingerprint", simhash.hexadecimal(found.fingerprint))
 
 
+def _top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, folder, "embeddings"))
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_best_fit_packing": _pack,
@@ -45,8 +68,9 @@ def queries() -> dict[str, Query]:
         "op7_simhash": _simhash,
         "op8_token_table": _token_table,
         "op9_secrets": _secrets,
+        "op10_top_k": _top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_top_k": _TOP_K_SQL}
