@@ -6,10 +6,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagtrail.llm import packing, quality, secrets, simhash, token_table, topk
+from dagtrail.llm import mixing, packing, quality, secrets, simhash, token_table, topk, urls
 from dagtrail.llm.common import table
 from dagtrail.sources.paths import shared_folder
 
+# as the operator: rates of the root of the sizes, a number by hash, the inverse of the distribution
+_MIX_SQL = """
+with sizes as (
+    select source, coalesce(sum(length(text)), 0) as size from documents group by source),
+totals as (
+    select sum(sqrt(size)) as weights, sum(size) as sizes from sizes where size > 0),
+rates as (
+    select source, case when size > 0 then (sqrt(size) / weights) / (size / sizes) else 1.0 end as rate
+      from sizes cross join totals),
+terms as (
+    select source, k, case when k = 0 then exp(-rate) else exp(-rate + k * ln(rate) - lgamma(k + 1)) end as p
+      from rates cross join range(0, 60) as t(k)),
+upto as (
+    select source, list(c order by k) as upto
+      from (select source, k, sum(p) over (partition by source order by k) as c from terms)
+     group by source),
+keyed as (
+    select d.*, coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))) as key from documents d),
+drawn as (
+    select k.*, len(list_filter(upto, lambda c: c < (cast('0x' || substr(md5('42:' || key || ':1'), 1, 13) as bigint) + 0.5)
+                                                     / 4503599627370496.0)) as n
+      from keyed k join upto u on k.source is not distinct from u.source),
+repeated as (
+    select * exclude (n), cast(unnest(range(1, n + 1)) as integer) as copy from drawn)
+select * exclude (key), cast('0x' || substr(md5('42:' || key || ':' || copy), 1, 15) as bigint) as place
+  from repeated
+"""
+
 # candidates are numbered, so that rows of one id are told apart
 _TOP_K_SQL = """
 with usable as (
@@ -43,6 +71,14 @@ def _pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), WORD_BPE, end_id=0, capacity=2048)
 
 
+def _mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"))
+
+
+def _urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(table(spark, folder, "pages"), urls.train(urls.labelled_urls(spark)))
+
+
 def _quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"), PIECE_BPE)
 
@@ -64,7 +100,9 @@ def _top_k(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_best_fit_packing": _pack,
+        "op3_mixing": _mix,
         "op5_quality": _quality,
+        "op6_urls": _urls,
         "op7_simhash": _simhash,
         "op8_token_table": _token_table,
         "op9_secrets": _secrets,
@@ -73,4 +111,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_top_k": _TOP_K_SQL}
+    return {"op3_mixing": _MIX_SQL, "op10_top_k": _TOP_K_SQL}
