@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagtrail.llm import mixing, packing, quality, secrets, simhash, token_table, topk, urls
+from dagtrail.llm import mixing, packing, quality, secrets, simhash, token_files, token_table, topk, urls
 from dagtrail.llm.common import table
 from dagtrail.sources.paths import shared_folder
 
@@ -67,6 +67,13 @@ def _token_table(spark: SparkSession, folder: str) -> DataFrame:
     return token_table.token_digests(token_table.read_token_table(spark, path))
 
 
+def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_folder(spark, "token-files")
+    token_files.write_token_files(table(spark, folder, "documents"), path, WORD_BPE)
+    counts = token_files.token_counts(spark, path)
+    return counts.withColumn("file", F.regexp_extract("file", "[^/]*$", 0))
+
+
 def _pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), WORD_BPE, end_id=0, capacity=2048)
 
@@ -89,7 +96,7 @@ def _secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 def _simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
-    return found.withColumn("fingerprint", simhash.hexadecimal(found.fingerprint))
+    return found.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
 def _top_k(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,6 +106,7 @@ def _top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_token_counts": _token_counts,
         "op2_best_fit_packing": _pack,
         "op3_mixing": _mix,
         "op5_quality": _quality,

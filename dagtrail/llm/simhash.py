@@ -69,16 +69,18 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS, seed: int
 
 
 def fingerprints(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fingerprint of each row; all other columns are left out."""
+    """doc_id, fingerprint and a hash of the text of each row; other columns are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [fingerprint(t.as_py(), shingle_words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(made, pa.int64())], names=["doc_id", "fingerprint"]
+                [batch.column(0), pa.array(made, pa.int64()), batch.column(2)],
+                names=["doc_id", "fingerprint", "text_hash"],
             )
 
-    return first_columns(documents, "doc_id", "text").mapInArrow(run, "doc_id long, fingerprint long")
+    rows = first_columns(documents, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, fingerprint long, text_hash long")
 
 
 def _masks() -> list[int]:
@@ -234,7 +236,8 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fingerprint (signed) and component_id, the smallest doc_id that links reach.
+    """doc_id, fingerprint (signed) and component_id, the smallest doc_id that links reach; then
+    the component's root fingerprint and a hash of the row's text.
 
     Every row is answered, repeated ids too. Null ids are answered but name no component;
     where all ids of a component are null, so is its name.
@@ -245,8 +248,16 @@ def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) ->
     named = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = named.withColumn("root", F.coalesce("root", "fingerprint"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = named.join(smallest, "root").select("fingerprint", "component_id")
-    return rows.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    labels = named.join(smallest, "root").select("fingerprint", "component_id", "root")
+    return rows.join(labels, "fingerprint").select("doc_id", "fingerprint", "component_id", "root", "text_hash")
+
+
+def representatives(found: DataFrame) -> DataFrame:
+    """doc_id and text_hash of the row that stands for each component: its smallest id, nulls
+    last, then the smallest hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    chosen = found.groupBy("root").agg(F.min(order).alias("chosen"))
+    return chosen.select("chosen.doc_id", "chosen.text_hash")
 
 
 def hexadecimal(fingerprint: Column) -> Column:
