@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagtrail.llm import mixing, packing, quality, secrets, simhash, token_files, token_table, topk, urls
+from dagtrail.llm import lm, mixing, packing, quality, secrets, simhash, token_files, token_table, topk, urls
 from dagtrail.llm.common import table
 from dagtrail.sources.paths import shared_folder
 
@@ -82,6 +82,11 @@ def _mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def _score(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return lm.score_documents(table(spark, folder, "documents"), F.coalesce(held_out, F.lit(False)))
+
+
 def _urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages"), urls.train(urls.labelled_urls(spark)))
 
@@ -109,6 +114,7 @@ def queries() -> dict[str, Query]:
         "op1_token_counts": _token_counts,
         "op2_best_fit_packing": _pack,
         "op3_mixing": _mix,
+        "op4_lm_scoring": _score,
         "op5_quality": _quality,
         "op6_urls": _urls,
         "op7_simhash": _simhash,
