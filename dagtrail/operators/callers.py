@@ -1,11 +1,15 @@
 """Filters on events, and the caller that submitted their DAG."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dagtrail import schemas as S
 from dagtrail.functions.payload import blank, kv
 from dagtrail.operators.lookup import lookup_join
+from dagtrail.sources.paths import store_rows
+
+# At most this many events are gathered in one task where a number of them is asked for.
+ONE_TASK_ROWS = 1_000_000
 
 
 def order_key(columns: list[str] = S.ORDER):
@@ -84,19 +88,22 @@ def manifest_app_ids(manifest: DataFrame) -> DataFrame:
 def events_for_manifest(events: DataFrame, manifest: DataFrame, types: list[str] | None = None) -> DataFrame:
     """Events whose caller is the application of a manifest entry.
 
-    The manifest is matched against the callers, one row per DAG, not against events;
-    several entries of one application do not multiply events.
+    The manifest is reduced to its applications and matched against the callers, one row
+    per DAG, not against events; a caller of very many DAGs is sliced like any hot key.
     """
-    wanted = manifest.select(F.col("appId").alias("callerId"))
-    callers = dag_callers(events).join(wanted, "callerId", "left_semi").select("dagId", "callerId")
+    wanted = manifest_app_ids(manifest).select(F.col("appId").alias("callerId"))
+    callers = lookup_join(dag_callers(events), wanted, "callerId", ["dagId"]).select("dagId", "callerId")
     return with_caller(events, types, callers)
 
 
-def ingest_summary(events: DataFrame, types: list[str] | None = None) -> DataFrame:
+def ingest_summary(
+    events: DataFrame, types: list[str] | None = None, files: DataFrame | None = None
+) -> DataFrame:
     """Counts of one ingest: read, without caller, rejected by type, passed, files.
 
-    One pass reduces the events to a row per DAG and file, which also tells whether
-    the DAG has a caller, so no event is joined.
+    Events are reduced to a row per DAG, which also tells whether the DAG has a caller,
+    so no event is joined. `files` lists what was read, empty files too; without it the
+    files that gave events count.
     """
     wanted = F.lit(True) if types is None else F.col("eventType").isin(list(types))
     names_caller = (F.col("eventType") == S.DAG_SUBMITTED) & kv("callerId").isNotNull()
@@ -118,7 +125,8 @@ def ingest_summary(events: DataFrame, types: list[str] | None = None) -> DataFra
         over(F.col("wanted"), has_caller).alias("passedEvents"),
     )
     surviving = F.col("totalEvents") - F.col("rejectedEvents")
-    files = events.select("srcFile").distinct().agg(F.count("srcFile").alias("files"))
+    files = events.select("srcFile").distinct() if files is None else files
+    files = files.agg(F.count("srcFile").alias("files"))
     return (
         counts.withColumn("survivingEvents", surviving)
         .withColumn("survivingPercent", F.expr("survivingEvents * 100 div nullif(totalEvents, 0)"))
@@ -126,9 +134,29 @@ def ingest_summary(events: DataFrame, types: list[str] | None = None) -> DataFra
     )
 
 
-def limited_events(events: DataFrame, limit: int | None, order: list[str] | None = None) -> DataFrame:
-    """At most `limit` events, the first ones if an order is given; 0 or less is no limit."""
+def limited_events(
+    events: DataFrame, limit: int | None, order: list[str] | None = None, one_task_rows: int = ONE_TASK_ROWS
+) -> DataFrame:
+    """At most `limit` events, the first ones if an order is given; 0 or less is no limit.
+
+    Up to `one_task_rows` of them are gathered in one task. More of them stay in their tasks,
+    each of which is told how many of its events count: a running total over the tasks, or
+    over ranges of the order, tells that.
+    """
     if limit is None or limit <= 0:
         return events
-    ordered = events.orderBy(*order) if order else events
-    return ordered.limit(limit)
+    if limit <= one_task_rows:
+        return (events.orderBy(*order) if order else events).limit(limit)
+    parted = (events.repartitionByRange(*order) if order else events).withColumn("_part", F.spark_partition_id())
+    # numbers and totals must come from the same tasks, so both read one stored table
+    stored, columns = store_rows(parted, "limited"), events.columns
+    sizes = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_size").over(earlier), F.lit(0))
+    # a row per task; all events of most tasks count or none do, and one task at most is cut
+    quota = sizes.select("_part", "_size", (F.lit(limit) - before).alias("_quota")).where("_quota > 0")
+    whole = stored.join(F.broadcast(quota.where("_quota >= _size").select("_part")), "_part")
+    cut = stored.join(F.broadcast(quota.where("_quota < _size").select("_part", "_quota")), "_part")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*(order or ["_part"])))
+    cut = cut.withColumn("_nth", nth).where("_nth <= _quota")
+    return whole.select(*columns).unionByName(cut.select(*columns))

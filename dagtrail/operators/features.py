@@ -20,45 +20,46 @@ def attempt_finishes(events: DataFrame) -> DataFrame:
     return finishes.withColumns({c: F.coalesce(c, F.lit(unset[c])) for c in FINISH})
 
 
-def finish_context(events: DataFrame) -> DataFrame:
-    """Vertex and placement of every finish of an LLAP attempt.
+def _ids(events: DataFrame) -> DataFrame:
+    """Vertex ids of all attempt finishes: enough to weigh the join without reading payloads."""
+    return events.where(F.col("eventType") == S.TASK_ATTEMPT_FINISHED).select("vertexId")
 
-    A start belongs to the first finish of its attempt only. That finish is found by
-    an aggregate and then matched as a whole, not by attempt id: no window is needed,
-    and an attempt id with very many finishes is no hot key. Only ids travel here, the
-    payload of the finishes does not. The aggregate carries the vertex along, which it
-    has no use for, so that both uses of `llap` read the same columns and Spark
-    shuffles them once.
+
+def placements(events: DataFrame, names: DataFrame) -> DataFrame:
+    """Node and container of the first finish of each LLAP attempt, one row per attempt.
+
+    A start belongs to the first finish of its attempt only. That finish is found by an
+    aggregate: no window is needed, and an attempt id with very many finishes is no hot key.
     """
     keys = attempt_finishes(events).select("vertexId", *FINISH)
-    names = llap_vertices(events).select("vertexId", "vertexName", F.col("numTasks").alias("vertexNumTasks"))
-    llap = lookup_join(keys, names, "vertexId", S.IDENTITY).drop("vertexId")
-    first = llap.groupBy("taskAttemptId").agg(
-        F.min(F.struct(*S.ORDER, "vertexName", "vertexNumTasks")).alias("first")
-    )
-    placed = first.join(attempt_starts(events), "taskAttemptId").select(
+    llap = lookup_join(keys, names.select("vertexId"), "vertexId", FINISH, weigh=_ids(events))
+    first = llap.groupBy("taskAttemptId").agg(F.min(F.struct(*S.ORDER)).alias("first"))
+    return first.join(attempt_starts(events), "taskAttemptId").select(
         "taskAttemptId",
         *[F.col(f"first.{c}").alias(c) for c in S.ORDER],
         F.col("nodeId").alias("nodeID"),
         F.col("containerId").alias("contID"),
     )
-    return llap.join(placed, FINISH, "left")
 
 
 def task_features(events: DataFrame) -> DataFrame:
     """The task report, one row per finished LLAP attempt.
 
-    Counters are read before the join, so that a row moves as 22 numbers rather than
-    as a JSON text, and it moves once.
+    Counters are read before the joins, so that a row moves as 22 numbers rather than
+    as a JSON text. Both joins meet relations of one row per key, so no row is ever
+    multiplied, not even where nothing tells finishes apart; such finishes of one attempt
+    share its placement.
     """
     finishes = attempt_finishes(events).select(
         *FINISH,
+        "vertexId",
         F.col("appId").alias("applID"),
-        F.col("vertexId").alias("vertexID"),
         F.col("dagId").alias("dagID"),
         F.col("taskId").alias("taskID"),
         kv("status").alias("status"),
         "eventData",
     )
-    rows = with_counters(finishes).join(finish_context(events), FINISH)
+    names = llap_vertices(events).select("vertexId", "vertexName", F.col("numTasks").alias("vertexNumTasks"))
+    named = lookup_join(with_counters(finishes), names, "vertexId", FINISH, weigh=_ids(events))
+    rows = named.withColumnRenamed("vertexId", "vertexID").join(placements(events, names), FINISH, "left")
     return rows.select(*S.REPORT_COLUMNS)

@@ -7,34 +7,19 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 1_000_000
 SLICE_ROWS_SETTING = "spark.dagtrail.sliceRows"
 
-# Rows whose input is not larger than this need no slicing: even if all of them had the
-# same key, one task could take them.
-ONE_TASK_BYTES = 256 * 1024 * 1024
-ONE_TASK_BYTES_SETTING = "spark.dagtrail.oneTaskBytes"
-
-# At most this many keys are cut, the heaviest ones. That bounds what is broadcast,
-# whatever the data size; a key beyond the bound holds less than 1/MAX_HOT_KEYS of
-# the rows and is joined whole.
-MAX_HOT_KEYS = 100_000
-
-
-def _setting(df: DataFrame, name: str, default: int) -> int:
-    return int(df.sparkSession.conf.get(name, str(default)))
-
-
-def fits_one_task(rows: DataFrame) -> bool:
-    """Whether Spark's own size estimate, known without running a job, is small."""
-    estimate = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= _setting(rows, ONE_TASK_BYTES_SETTING, ONE_TASK_BYTES)
+# A slice is no smaller than this part of all rows, so that fewer keys than this can need
+# slices. That bounds what is broadcast, and no key has to be left out.
+SLICES_OF_ALL = 100_000
 
 
 def hot_keys(rows: DataFrame, key: str) -> DataFrame:
     """Keys with too many rows for one task, and the number of slices each needs."""
-    slice_rows = _setting(rows, SLICE_ROWS_SETTING, SLICE_ROWS)
+    slice_rows = int(rows.sparkSession.conf.get(SLICE_ROWS_SETTING, str(SLICE_ROWS)))
     weights = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    heavy = weights.where(F.col(key).isNotNull() & (F.col("_rows") > slice_rows))
-    slices = F.ceil(F.col("_rows") / F.lit(slice_rows)).cast("int")
-    return heavy.orderBy(F.desc("_rows")).limit(MAX_HOT_KEYS).select(key, slices.alias("_slices"))
+    total = weights.agg(F.sum("_rows").alias("_rows")).scalar()
+    width = F.greatest(F.lit(slice_rows), F.ceil(F.coalesce(total, F.lit(0)) / F.lit(SLICES_OF_ALL)))
+    heavy = weights.where(F.col(key).isNotNull() & (F.col("_rows") > width))
+    return heavy.select(key, F.ceil(F.col("_rows") / width).cast("int").alias("_slices"))
 
 
 def lookup_join(
@@ -44,16 +29,14 @@ def lookup_join(
 
     Rows of a hot key are spread over slices by a hash of their identity, and only the
     lookup rows of hot keys are repeated, once per slice. All other keys join as usual.
-    No size is guessed: whether the lookup is broadcast is left to Spark, which
-    measures it at run time.
+    The plan is the same at every size, and whether the lookup is broadcast is left to
+    Spark, which measures it at run time.
 
     Keys are counted in `weigh` where that is cheaper to scan than `rows`; it must
     hold all of them.
     """
-    weigh = rows if weigh is None else weigh
-    if fits_one_task(weigh):
-        return rows.join(lookup, key)
-    hot = F.broadcast(hot_keys(weigh, key))
+    # fewer than SLICES_OF_ALL keys
+    hot = F.broadcast(hot_keys(rows if weigh is None else weigh, key))
     slices = F.coalesce("_slices", F.lit(1))
     sliced_rows = rows.join(hot, key, "left").withColumn(
         "_slice", F.when(slices > 1, F.pmod(F.xxhash64(*identity), slices).cast("int")).otherwise(0)

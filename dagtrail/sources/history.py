@@ -4,9 +4,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagtrail import schemas as S
-from dagtrail.sources.paths import require_directory, shared_folder
+from dagtrail.sources.paths import is_directory, require_directory, shared_folder, store_rows
 
 FORMATS = ("parquet", "json")
+# The text of a JSON record that does not fit the schema.
+REJECTED = "rejectedRecord"
 
 
 def _reader(spark: SparkSession, file_format: str, skip_damaged_files: bool):
@@ -16,23 +18,47 @@ def _reader(spark: SparkSession, file_format: str, skip_damaged_files: bool):
     if skip_damaged_files:
         reader = reader.option("ignoreCorruptFiles", True)
     if file_format == "json":
-        # a writer that died leaves a half line behind; the events before it count
-        reader = reader.option("mode", "DROPMALFORMED")
+        reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECTED)
     return reader
 
 
-def positioned(events: DataFrame, file_format: str) -> DataFrame:
-    """Fill `srcFile` and `srcPos` where the data does not carry them.
+def positioned(events: DataFrame) -> DataFrame:
+    """Fill `srcFile` and `srcPos` of Parquet events that do not carry them: file and row index."""
+    filled = {
+        "srcFile": F.coalesce("srcFile", F.col("_metadata.file_path")),
+        "srcPos": F.coalesce("srcPos", F.col("_metadata.row_index")),
+    }
+    return events.select(*[filled.get(c, F.col(c)).alias(c) for c in S.HISTORY_EVENT])
+
+
+def _json_records(spark: SparkSession, path: str, columns: dict[str, str], skip_damaged_files: bool) -> DataFrame:
+    """All records of JSON files with their positions, those that do not fit too, parsed once.
+
+    Positions count records as they are read. That must happen once: two scans may split files
+    differently. So the records are stored, and everything goes on from the stored table.
+    """
+    require_directory(spark, path)
+    reader = _reader(spark, "json", skip_damaged_files).schema(S.ddl({**columns, REJECTED: "string"}))
+    return reader.json(path)
+
+
+def read_json_history(
+    spark: SparkSession, path: str, skip_damaged_files: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Events of JSON files, and the records that are none: file, position and text.
 
-    Parquet knows the row index within its file. For other formats the running id is
-    unique, and rises along each file because splits of a file are read in order.
+    A record whose parts have other types than events have is rejected as a whole, as is the
+    half line of a writer that died; the records around it count.
     """
-    index = F.col("_metadata.row_index") if file_format == "parquet" else F.monotonically_increasing_id()
+    raw = _json_records(spark, path, S.HISTORY_EVENT, skip_damaged_files)
     filled = {
         "srcFile": F.coalesce("srcFile", F.col("_metadata.file_path")),
-        "srcPos": F.coalesce("srcPos", index),
+        "srcPos": F.coalesce("srcPos", F.monotonically_increasing_id()),
     }
-    return events.select(*[filled.get(c, F.col(c)).alias(c) for c in S.HISTORY_EVENT])
+    columns = [filled.get(c, F.col(c)).alias(c) for c in S.HISTORY_EVENT]
+    stored = store_rows(raw.select(*columns, REJECTED), "json-history")
+    events = stored.where(F.col(REJECTED).isNull()).select(*S.HISTORY_EVENT)
+    return events, stored.where(F.col(REJECTED).isNotNull()).select("srcFile", "srcPos", REJECTED)
 
 
 def read_history(
@@ -46,12 +72,15 @@ def read_history(
 
     `skip_damaged_files` keeps what was read of a file that ends early instead of
     failing the job. `has_positions` says that every event carries `srcFile` and
-    `srcPos`, as in tables written here, so that none have to be made up.
+    `srcPos`, as in tables written here, so that none have to be made up. JSON is parsed
+    once, into a stored table; see `read_json_history` for what it rejects.
     """
+    if file_format == "json":
+        return read_json_history(spark, path, skip_damaged_files)[0]
     reader = _reader(spark, file_format, skip_damaged_files).schema(S.ddl(S.HISTORY_EVENT))
     require_directory(spark, path)
-    events = reader.parquet(path) if file_format == "parquet" else reader.json(path)
-    return events if has_positions else positioned(events, file_format)
+    events = reader.parquet(path)
+    return events if has_positions else positioned(events)
 
 
 def write_history(events: DataFrame, path: str) -> None:
@@ -72,9 +101,30 @@ def stage_events(events: DataFrame, label: str = "events") -> DataFrame:
     return read_history(spark, path, has_positions=True)
 
 
+# Events and manifest below a base directory.
+EVENTS_BELOW, MANIFEST_BELOW = "dag_data", "query_data"
+
+
+def event_folder(spark: SparkSession, path: str) -> str:
+    """Where the events of a base directory lie; the directory itself, if it is none."""
+    below = f"{path.rstrip('/')}/{EVENTS_BELOW}"
+    return below if is_directory(spark, below) else path
+
+
+def read_base(spark: SparkSession, path: str, file_format: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """Events and manifest entries below a base directory."""
+    events = read_history(spark, event_folder(spark, path), file_format)
+    return events, read_manifest(spark, f"{path.rstrip('/')}/{MANIFEST_BELOW}", file_format)
+
+
 def read_manifest(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    """Scan manifest entries; damaged files are skipped, as this input is optional."""
+    """Scan manifest entries; damaged files are skipped, as this input is optional.
+
+    JSON records that do not fit are left out.
+    """
+    if file_format == "json":
+        records = store_rows(_json_records(spark, path, S.MANIFEST, True), "json-manifest")
+        return records.where(F.col(REJECTED).isNull()).select(*S.MANIFEST)
     reader = _reader(spark, file_format, skip_damaged_files=True)
     require_directory(spark, path)
-    reader = reader.schema(S.ddl(S.MANIFEST))
-    return reader.json(path) if file_format == "json" else reader.parquet(path)
+    return reader.schema(S.ddl(S.MANIFEST)).parquet(path)

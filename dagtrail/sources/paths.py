@@ -1,31 +1,86 @@
-"""Paths: directory checks and the shared folder for data written on the way."""
+"""Paths: directory checks, file listings, and the shared folder for data written on the way."""
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop_path
+
+
+def is_directory(spark: SparkSession, path: str) -> bool:
+    fs, hadoop_path = _file_system(spark, path)
+    return fs.exists(hadoop_path) and fs.getFileStatus(hadoop_path).isDirectory()
 
 
 def require_directory(spark: SparkSession, path: str) -> str:
     """Return the path; raise if it is not an existing directory."""
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not (fs.exists(hadoop_path) and fs.getFileStatus(hadoop_path).isDirectory()):
+    if not is_directory(spark, path):
         raise ValueError(f"not a directory: {path}")
     return path
 
 
+def listed_files(spark: SparkSession, path: str, file_glob: str = "*") -> DataFrame:
+    """`srcFile` of every file below a directory, empty ones too; contents are not read."""
+    require_directory(spark, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return files.option("pathGlobFilter", file_glob).load(path).select(F.col("path").alias("srcFile"))
+
+
+@lru_cache(1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="dagtrail-")
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new, unique folder below the shared folder the cluster names.
 
     Only where `spark.checkpoint.dir` is unset, as in local runs, a folder of our own
-    is made and set for the session.
+    is made; the session's settings are left alone.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder all executors share")
-        base = tempfile.mkdtemp(prefix="dagtrail-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        base = _own_folder()
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for given in _noted:
+        given.append(path)
+    return path
+
+
+# Folders given out, for each `removed_afterwards` that is under way.
+_noted: list[list[str]] = []
+
+
+@contextmanager
+def removed_afterwards(spark: SparkSession) -> Iterator[None]:
+    """Remove the shared folders given out meanwhile, also if the work on them fails."""
+    given: list[str] = []
+    _noted.append(given)
+    try:
+        yield
+    finally:
+        _noted.remove(given)
+        for path in given:
+            remove_folder(spark, path)
+
+
+def store_rows(df: DataFrame, label: str) -> DataFrame:
+    """Write rows to a new table in the shared folder and go on from that table."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that `shared_folder` gave, if it is there."""
+    fs, hadoop_path = _file_system(spark, path)
+    fs.delete(hadoop_path, True)

@@ -27,7 +27,7 @@ def stream_history(spark: SparkSession, path: str, file_format: str = "parquet")
     require_directory(spark, path)
     reader = spark.readStream.schema(S.ddl(S.HISTORY_EVENT)).option("recursiveFileLookup", True)
     if file_format == "parquet":
-        return positioned(reader.parquet(path), file_format)
+        return positioned(reader.parquet(path))
     if file_format == "json":
         return reader.json(path)
     raise ValueError(f"unknown file format {file_format!r}, expected parquet or json")

@@ -135,7 +135,7 @@ def expected_report(events):
 def test_order_and_partitions_do_not_matter(spark, sliced):
     events = big(7)
     expected = expected_report(events)
-    settings = {L.ONE_TASK_BYTES_SETTING: "0", L.SLICE_ROWS_SETTING: "5"} if sliced else {}
+    settings = {L.SLICE_ROWS_SETTING: "5"} if sliced else {}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:

@@ -7,7 +7,7 @@ from dagtrail.operators import lookup as L
 
 @pytest.fixture
 def slicing(spark):
-    settings = {L.ONE_TASK_BYTES_SETTING: "0", L.SLICE_ROWS_SETTING: "10"}
+    settings = {L.SLICE_ROWS_SETTING: "10"}
     for k, v in settings.items():
         spark.conf.set(k, v)
     yield
@@ -58,16 +58,14 @@ def test_a_hot_key_is_spread_over_partitions(spark, slicing):
     assert sum(1 for s in sizes if s) > 1 and max(sizes) < 300
 
 
-def test_at_most_the_bound_is_cut_and_nothing_is_lost(spark, slicing, monkeypatch):
-    monkeypatch.setattr(L, "MAX_HOT_KEYS", 1)
+def test_slices_are_no_smaller_than_a_part_of_all_rows(spark, slicing, monkeypatch):
+    monkeypatch.setattr(L, "SLICES_OF_ALL", 2)
     rows, lookup = data(spark)
-    assert [r.key for r in L.hot_keys(rows, "key").collect()] == ["hot"]
+    # 678 rows in parts of 339: only one key needs slices, whatever the setting
+    assert {r.key: r._slices for r in L.hot_keys(rows, "key").collect()} == {"hot": 2}
     assert L.lookup_join(rows, lookup, "key", ["id"]).count() == 528
 
 
-def test_input_of_known_small_size_takes_the_plain_join(spark):
-    rows = spark.range(100).selectExpr("id % 3 as key", "id")
-    lookup = spark.range(3).selectExpr("id as key", "id * 2 as value")
-    joined = L.lookup_join(rows, lookup, "key", ["id"])
-    assert "xxhash64" not in joined._jdf.queryExecution().optimizedPlan().toString()
-    assert joined.count() == 100
+def test_empty_rows(spark):
+    rows, lookup = data(spark)
+    assert L.lookup_join(rows.limit(0), lookup, "key", ["id"]).count() == 0

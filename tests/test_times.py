@@ -108,7 +108,7 @@ def test_against_brute_force(spark, sliced):
     expected = [
         (*k, len(t), min(t), max(t), sum(t) // len(t), int(statistics.pstdev(t))) for k, t in sorted(groups.items())
     ]
-    settings = {L.ONE_TASK_BYTES_SETTING: "0", L.SLICE_ROWS_SETTING: "7"} if sliced else {}
+    settings = {L.SLICE_ROWS_SETTING: "7"} if sliced else {}
     for k, v in settings.items():
         spark.conf.set(k, v)
     try:
