@@ -188,7 +188,7 @@ def in_folder(spark, tmp_path, found):
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
-    good = [(i, prose(300 + i, 120 + i), "xx", "a" if i % 3 else "b", 1) for i in range(40)]
+    good = [(100 + i, prose(300 + i, 120 + i), "xx", "a" if i % 3 else "b", 1) for i in range(40)]
     near = [(500 + i, r[1] + " end", *r[2:]) for i, r in enumerate(good[:5])] + [good[7]]
     secret = [(600, prose(77, 90) + ' token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" ' + prose(78, 9), "xx", "b", 1)]
     found = rows() + good + near + secret
@@ -196,8 +196,8 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
     fertility = quality.Fertility(corpus_pipeline.PIECE_BPE)
     kept = [r for r in found if fertility.measure(r[1], r[2], quality.LANGUAGE_BANDS)[6]]
-    prints = {r[1]: simple_fingerprint(r[1], 5) for r in kept if len(r[1]) < 50_000}
-    prints |= {r[1]: simhash.fingerprint(r[1], 5) % (1 << 64) for r in kept if len(r[1]) >= 50_000}
+    prints = {r[1]: simple_fingerprint(r[1], 4) for r in kept if len(r[1]) < 50_000}
+    prints |= {r[1]: simhash.fingerprint(r[1], 4) % (1 << 64) for r in kept if len(r[1]) >= 50_000}
     roots, groups = simple_components(set(prints.values())), {}
     for r in kept:
         groups.setdefault(roots[prints[r[1]]], []).append(r)
