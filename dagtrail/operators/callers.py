@@ -97,13 +97,13 @@ def events_for_manifest(events: DataFrame, manifest: DataFrame, types: list[str]
 
 
 def ingest_summary(
-    events: DataFrame, types: list[str] | None = None, files: DataFrame | None = None
+    events: DataFrame, types: list[str] | None = None, files: int | None = None
 ) -> DataFrame:
     """Counts of one ingest: read, without caller, rejected by type, passed, files.
 
     Events are reduced to a row per DAG, which also tells whether the DAG has a caller,
-    so no event is joined. `files` lists what was read, empty files too; without it the
-    files that gave events count.
+    so no event is joined. `files` is the number of files read, empty ones too; without it
+    the files that gave events count.
     """
     wanted = F.lit(True) if types is None else F.col("eventType").isin(list(types))
     names_caller = (F.col("eventType") == S.DAG_SUBMITTED) & kv("callerId").isNotNull()
@@ -125,12 +125,13 @@ def ingest_summary(
         over(F.col("wanted"), has_caller).alias("passedEvents"),
     )
     surviving = F.col("totalEvents") - F.col("rejectedEvents")
-    files = events.select("srcFile").distinct() if files is None else files
-    files = files.agg(F.count("srcFile").alias("files"))
+    found = F.lit(files).cast("bigint")
+    if files is None:
+        found = events.select("srcFile").distinct().agg(F.count("srcFile").alias("files")).scalar()
     return (
         counts.withColumn("survivingEvents", surviving)
         .withColumn("survivingPercent", F.expr("survivingEvents * 100 div nullif(totalEvents, 0)"))
-        .withColumn("foundFiles", files.scalar())
+        .withColumn("foundFiles", found)
     )
 
 

@@ -10,7 +10,7 @@ from dagtrail.operators.times import time_detail
 from dagtrail.plans.processors import Processor, find, processors
 from dagtrail.sources.entitylog import ats_summary, read_ats
 from dagtrail.sources.history import event_folder, read_history, stage_events
-from dagtrail.sources.paths import listed_files, removed_afterwards
+from dagtrail.sources.paths import count_files, removed_afterwards
 from dagtrail.sources.report import write_time_detail
 
 
@@ -67,7 +67,7 @@ def run_job(
             summary = (
                 ats_summary(spark, input_path, **source_options)
                 if ats
-                else ingest_summary(events, chosen.event_types, listed_files(spark, input_path))
+                else ingest_summary(events, chosen.event_types, count_files(spark, input_path))
             )
             summary.write.mode("overwrite").json(summary_path)
         if limit is not None and limit > 0:

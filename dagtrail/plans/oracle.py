@@ -69,6 +69,39 @@ _AVERAGES = f"""
 )
 """
 
+# The report's counters.
+_COUNTERS = {
+    "hdfsBytesRead": "HDFS_BYTES_READ",
+    "hdfsBytesWritten": "HDFS_BYTES_WRITTEN",
+    "hdfsReadOps": "HDFS_READ_OPS",
+    "hdfsWriteOps": "HDFS_WRITE_OPS",
+    "inputRecords": "INPUT_RECORDS_PROCESSED",
+    "inputSplitLengthBytes": "INPUT_SPLIT_LENGTH_BYTES",
+    "createdFiles": "CREATED_FILES",
+    "allocatedBytes": "ALLOCATED_BYTES",
+    "allocatedUsedBytes": "ALLOCATED_USED_BYTES",
+    "cacheMissBytes": "CACHE_MISS_BYTES",
+    "consumerTimeNano": "CONSUMER_TIME_NS",
+    "decodeTimeNano": "DECODE_TIME_NS",
+    "hdfsTimeNano": "HDFS_TIME_NS",
+    "metaDataCacheMiss": "METADATA_CACHE_MISS",
+    "decodeBatches": "NUM_DECODED_BATCHES",
+    "vectorBatches": "NUM_VECTOR_BATCHES",
+    "rowsEmitted": "ROWS_EMITTED",
+    "selRowGroups": "SELECTED_ROWGROUPS",
+    "totalIONano": "TOTAL_IO_TIME_NS",
+    "specQueueNano": "SPECULATIVE_QUEUED_NS",
+    "specRunningNano": "SPECULATIVE_RUNNING_NS",
+}
+_PLACES = {name: i for i, name in enumerate(sorted(_COUNTERS.values()))}
+
+
+def _measures() -> str:
+    """The report's numbers: each counter has the event's number and its name's place."""
+    counters = ", ".join(f"f.srcPos * 100 + {_PLACES[name]} as {column}" for column, name in _COUNTERS.items())
+    return f"{counters}, case when f.k % 3 <> 0 then f.ms else f.ms + 7 end as taskDurationMillis,"
+
+
 # The scalars behind every history event; payloads are never parsed here.
 _HISTORY = """
 with h as (
@@ -81,7 +114,7 @@ with h as (
     from events
 ), hist as (
   select eventType, eventTime, srcPos, u, k, ms,
-         concat('app_', u % 7) as appId,
+         case when srcPos % 97 = 0 then '' else concat('app_', u % 7) end as appId,
          concat('dag_', u % 35) as dagId,
          concat('vertex_', u) as vertexId,
          concat('task_', u, '_', k % 20) as taskId,
@@ -93,13 +126,13 @@ with h as (
    where eventType = 'DAG_SUBMITTED' and u % 35 < 28
    group by dagId
 ), vertices as (
-  select vertexId, any_value(appId) as appId,
+  select vertexId, arg_max(appId, (eventTime, srcPos)) as appId, bool_or(appId <> '') as named,
          case when any_value(u) % 3 = 0 then 'Map' else 'Reducer' end as opType,
          concat(case when any_value(u) % 3 = 0 then 'Map ' else 'Reducer ' end,
                 arg_max(k, (eventTime, srcPos)) % 5) as vertexName,
          arg_max(k, (eventTime, srcPos)) as numTasks
     from hist
-   where eventType = 'VERTEX_INITIALIZED' and u % 4 <> 0
+   where eventType = 'VERTEX_INITIALIZED' and u % 4 <> 0 and k % 10 <> 3
    group by vertexId
 ), starts as (
   select taskAttemptId, arg_max(k, (eventTime, srcPos)) as k
@@ -117,37 +150,17 @@ with h as (
          case when s.k is not null then concat('container_', s.k) end as contID,
          f.appId as applID, f.vertexId as vertexID, f.dagId as dagID, f.taskId as taskID,
          case f.k % 10 when 0 then 'KILLED' when 1 then 'FAILED' else 'SUCCEEDED' end as status,
-         f.srcPos as hdfsBytesRead,
-         cast(null as bigint) as hdfsBytesWritten,
-         cast(null as bigint) as hdfsReadOps,
-         cast(null as bigint) as hdfsWriteOps,
-         f.ms as taskDurationMillis,
-         cast(null as bigint) as inputRecords,
-         cast(null as bigint) as inputSplitLengthBytes,
-         cast(null as bigint) as createdFiles,
-         cast(null as bigint) as allocatedBytes,
-         cast(null as bigint) as allocatedUsedBytes,
-         cast(null as bigint) as cacheMissBytes,
-         cast(null as bigint) as consumerTimeNano,
-         cast(null as bigint) as decodeTimeNano,
-         cast(null as bigint) as hdfsTimeNano,
-         cast(null as bigint) as metaDataCacheMiss,
-         cast(null as bigint) as decodeBatches,
-         cast(null as bigint) as vectorBatches,
-         f.k as rowsEmitted,
-         cast(null as bigint) as selRowGroups,
-         cast(null as bigint) as totalIONano,
-         cast(null as bigint) as specQueueNano,
-         cast(null as bigint) as specRunningNano,
+         __MEASURES__
          f.vertexName, f.numTasks as vertexNumTasks
     from finishes f left join starts s on s.taskAttemptId = f.taskAttemptId and f.nth = 1
 ), detail as (
   select t.appId as applicationID, t.vertexId as vertexID, v.opType as type, t.taskId as taskID,
          t.ms as timeTaken, cast(t.k % 3 as integer) as failedAttempts
     from hist t join callers using (dagId) join vertices v on v.vertexId = t.vertexId
-   where t.eventType = 'TASK_FINISHED' and t.k % 5 <> 0
+   where t.eventType = 'TASK_FINISHED' and t.k % 5 <> 0 and t.appId <> '' and v.named
 )
 """
+_HISTORY = _HISTORY.replace("__MEASURES__", _measures())
 
 _IDS = "eventType, eventTime, appId, dagId, vertexId, taskId, taskAttemptId, srcPos"
 _FEATURE_TYPES = "('VERTEX_INITIALIZED', 'TASK_ATTEMPT_STARTED', 'TASK_ATTEMPT_FINISHED')"
@@ -164,16 +177,17 @@ select applicationID, type, count(*) as count, min(timeTaken) as minTime, max(ti
  group by applicationID, type
 """
 
-_UNSET = [
-    "hdfsBytesWritten", "hdfsReadOps", "hdfsWriteOps", "inputRecords", "inputSplitLengthBytes",
-    "createdFiles", "allocatedBytes", "allocatedUsedBytes", "cacheMissBytes", "consumerTimeNano",
-    "decodeTimeNano", "hdfsTimeNano", "metaDataCacheMiss", "decodeBatches", "vectorBatches",
-    "selRowGroups", "totalIONano", "specQueueNano", "specRunningNano",
+_COUNTER_JSON = [
+    f"""concat('{{"counterName":"{name}","counterValue":', srcPos * 100 + {i}, '}}')""" for name, i in _PLACES.items()
 ]
 
 _FEATURES = f"{_HISTORY} select * from features"
 
 
+# A third of all events belongs to one vertex.
+_HOT_VERTEX = "case when srcPos % 3 = 0 then 'vertex_1' else vertexId end"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "status_distribution": f"""
@@ -251,7 +265,8 @@ def oracle_sql() -> dict[str, str]:
             select {_IDS}, callerId from hist join callers using (dagId) where callerId = 'caller_3'""",
         "app_ids": f"""
             {_HISTORY}
-            select distinct appId from hist join callers using (dagId) where eventType in {_TIME_TYPES}""",
+            select distinct appId from hist join callers using (dagId)
+             where eventType in {_TIME_TYPES} and appId <> ''""",
         "events_for_app": f"""
             {_HISTORY}
             select {_IDS}, callerId from hist join callers using (dagId) where appId = 'app_3'""",
@@ -278,8 +293,8 @@ def oracle_sql() -> dict[str, str]:
         "task_finishes": f"""
             {_HISTORY}
             select appId, dagId, vertexId, taskId, ms as timeTaken, cast(k % 3 as integer) as failedAttempts,
-                   true as wasSuccessful, eventTime, srcPos
-              from hist where eventType = 'TASK_FINISHED' and k % 5 <> 0""",
+                   k % 5 <> 0 as wasSuccessful, eventTime, srcPos
+              from hist where eventType = 'TASK_FINISHED'""",
         "task_times": _TIMES,
         "time_detail": f"{_HISTORY} select * from detail",
         "attempt_placement": f"""
@@ -289,11 +304,10 @@ def oracle_sql() -> dict[str, str]:
               from starts""",
         "counter_values": f"""
             {_HISTORY}
-            select srcPos, srcPos as "HDFS_BYTES_READ", k as "ROWS_EMITTED",
-                   cast(null as bigint) as "CREATED_FILES"
+            select srcPos, {', '.join(f'srcPos * 100 + {i} as "{n}"' for n, i in _PLACES.items())}
               from hist where eventType = 'TASK_ATTEMPT_FINISHED'""",
         "task_duration": f"""
-            {_HISTORY} select srcPos, ms as duration from hist where eventType = 'TASK_ATTEMPT_FINISHED'""",
+            {_HISTORY} select srcPos, case when k % 3 <> 0 then ms else ms + 7 end as duration from hist where eventType = 'TASK_ATTEMPT_FINISHED'""",
         "task_features": _FEATURES,
         "ats_events": f"""
             {_HISTORY}
@@ -307,19 +321,18 @@ def oracle_sql() -> dict[str, str]:
                   ['vertexName', concat(case when u % 3 = 0 then 'Map ' else 'Reducer ' end, k % 5)],
                   ['numTasks', cast(k as varchar)],
                   ['servicePlugin', concat('{{"taskSchedulerName":"',
-                                           case when u % 4 <> 0 then 'LLAP' else 'YARN' end, '"}}')]]
+                                           case when u % 4 <> 0 and k % 10 <> 3 then 'LLAP' else 'YARN' end, '"}}')]]
                 when 'TASK_ATTEMPT_STARTED' then [
                   ['nodeId', concat('host', k % 10, ':', k + 15000)],
                   ['containerId', concat('container_', k)]]
                 else [
                   ['status', case k % 10 when 0 then 'KILLED' when 1 then 'FAILED' else 'SUCCEEDED' end],
-                  ['counters', concat(
-                     '{{"counterGroups":[{{"counters":[{{"counterName":"HDFS_BYTES_READ","counterValue":', srcPos,
-                     '}},{{"counterName":"ROWS_EMITTED","counterValue":', k, '}}',
+                  ['counters', concat('{{"counterGroups":[{{"counters":[',
+                     {" || ',' || ".join(_COUNTER_JSON)}, ']}},{{"counters":[',
                      case when k % 3 <> 0 then
-                       concat(',{{"counterName":"TASK_DURATION_MILLIS","counterValue":', ms, '}}')
+                       concat('{{"counterName":"TASK_DURATION_MILLIS","counterValue":', ms, '}}')
                      else '' end, ']}}]}}')],
-                  ['startTime', cast(eventTime - ms as varchar)],
+                  ['startTime', cast(eventTime - ms - 7 as varchar)],
                   ['endTime', cast(eventTime as varchar)]] end) as pair
                 from hist where eventType in {_FEATURE_TYPES})
             select case when eventType <> 'VERTEX_INITIALIZED' then taskAttemptId end as taskAttemptId,
@@ -329,16 +342,42 @@ def oracle_sql() -> dict[str, str]:
         "limited_events": f"{_HISTORY} select {_IDS} from hist order by srcPos limit 100",
         "run_job_features": _FEATURES,
         "run_job_times": _TIMES,
-        # one attempt per event there, so every row is joined with itself
-        "stream_task_features": f"""
-            {_HISTORY}, again as (
-              select eventTime, concat('host', k % 10, ':', k + 15000) as nodeID,
-                     concat('container_', k) as contID, appId as applID,
-                     concat('vertex_', srcPos) as vertexID, dagId as dagID, concat('task_', srcPos) as taskID,
-                     case k % 10 when 0 then 'KILLED' when 1 then 'FAILED' else 'SUCCEEDED' end as status,
-                     srcPos as hdfsBytesRead, ms as taskDurationMillis, k as rowsEmitted,
-                     concat(case when u % 3 = 0 then 'Map ' else 'Reducer ' end, k % 5) as vertexName,
-                     k as vertexNumTasks
-                from hist where u % 4 <> 0)
-            select again.*, {', '.join(f'cast(null as bigint) as {c}' for c in _UNSET)} from again""",
+        "run_job_features_json": _FEATURES,
+        "run_job_limited": f"""
+            {_HISTORY}
+            select cast(floor(0.6 * count(*)) as bigint) as taken, cast(0 as bigint) as unknown,
+                   true as several_tasks
+              from hist where eventType in {_FEATURE_TYPES}""",
+        "stream_task_features": _FEATURES,
+        "stream_ats_features": _FEATURES,
+        "task_features_hot": f"""
+            {_HISTORY}
+            select eventTime, {_HOT_VERTEX} as "vertexID", ms + case when k % 3 <> 0 then 0 else 7 end as "taskDurationMillis"
+              from hist
+             where eventType = 'TASK_ATTEMPT_FINISHED'
+               and {_HOT_VERTEX} in (select {_HOT_VERTEX} from hist
+                                      where eventType = 'VERTEX_INITIALIZED' and u % 4 <> 0 and k % 10 <> 3)""",
+        "events_with_caller_hot": f"""
+            {_HISTORY}, hot as (
+              select * replace (case when srcPos % 3 = 0 then 'dag_1' else dagId end as dagId) from hist),
+            called as (
+              select dagId, arg_min(concat('caller_', k % 10), (eventTime, srcPos)) as callerId
+                from hot where eventType = 'DAG_SUBMITTED' and u % 35 < 28 group by dagId)
+            select {_IDS}, callerId from hot join called using (dagId)""",
+        "entity_summary": f"""
+            {_HISTORY}
+            select count(*) + count(*) filter (srcPos % 2 = 0) as "totalEvents",
+                   count(*) filter (eventType in {_FEATURE_TYPES}) as "passedEvents",
+                   count(*) + count(*) filter (srcPos % 2 = 0)
+                     - count(*) filter (eventType in {_FEATURE_TYPES}) as "rejectedEvents",
+                   cast(4 as bigint) as "foundFiles"
+              from hist""",
+        "report_tables": f"{_AVERAGES} select * from averages",
+        "time_detail_job": f"{_HISTORY} select * from detail",
+        "own_processor": f"""
+            {_HISTORY}
+            select eventType, count(*) as events from hist join callers using (dagId) where appId <> '' group by 1
+            union all
+            select 'NAMED' as eventType, count(*) as events from hist
+             where eventType = 'DAG_SUBMITTED' and appId = ''""",
     }

@@ -1,6 +1,7 @@
 """Named processors: which events a report needs, and the report as a function of them."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -58,6 +59,15 @@ def register(processor: Processor) -> Processor:
     return processor
 
 
+@contextmanager
+def registered(processor: Processor) -> Iterator[Processor]:
+    """Register a processor for the time being."""
+    try:
+        yield register(processor)
+    finally:
+        del processors[processor.name]
+
+
 def find(name: str) -> Processor:
     if name not in processors:
         raise ValueError(f"unknown processor {name!r}, known are: {', '.join(sorted(processors))}")

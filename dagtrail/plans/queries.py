@@ -1,5 +1,6 @@
 """The registered queries: every operator on whole tables."""
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +11,18 @@ from dagtrail.functions.payload import counter_values, kv, kv_or_blank, task_dur
 from dagtrail.operators import callers as C
 from dagtrail.operators import stats
 from dagtrail.operators.features import attempt_finishes, task_features
+from dagtrail.operators.lookup import SLICE_ROWS_SETTING
 from dagtrail.operators.times import task_times, time_detail
 from dagtrail.operators.vertices import attempt_starts, llap_vertices, task_finishes
 from dagtrail.plans.jobs import run_job
+from dagtrail.plans.processors import Processor, registered
 from dagtrail.sources import tables
+from dagtrail.sources.entitylog import ats_summary
 from dagtrail.sources.events import read_events
-from dagtrail.sources.history import stage_events, write_history
+from dagtrail.sources.history import EVENTS_BELOW, MANIFEST_BELOW, read_base, write_history
 from dagtrail.sources.paths import shared_folder
-from dagtrail.sources.report import read_task_report, write_task_report
-from dagtrail.streaming.features import stream_task_features, write_stream
+from dagtrail.sources.report import create_report_tables, read_task_report, write_task_report
+from dagtrail.streaming.features import stream_ats, stream_history, stream_task_features
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,8 +48,7 @@ def _on_entities(fn: Callable[[DataFrame], DataFrame]) -> Query:
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
         logs = shared_folder(spark, "entitylogs")
-        history = tables.history_from_events(spark, folder, S.FEATURE_TYPES)
-        tables.entity_lines_from(history).write.text(logs)
+        tables.entity_lines_from(tables.history_from_events(spark, folder)).write.text(logs)
         return fn(read_events(spark, logs, "ats", file_glob="part-*"))
 
     return run
@@ -68,7 +71,7 @@ def _event_kv(events: DataFrame) -> DataFrame:
 
 
 def _counter_values(events: DataFrame) -> DataFrame:
-    names = ["HDFS_BYTES_READ", "ROWS_EMITTED", "CREATED_FILES"]
+    names = sorted(S.REPORT_COUNTERS.values())
     found = attempt_finishes(events).withColumn("values", counter_values(kv("counters"), names))
     return found.select("srcPos", *[F.get("values", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
@@ -78,8 +81,8 @@ def _task_duration(events: DataFrame) -> DataFrame:
     return attempt_finishes(events).select("srcPos", task_duration(counter).alias("duration"))
 
 
-def _succeeded_finishes(events: DataFrame) -> DataFrame:
-    return task_finishes(events).where("wasSuccessful").drop("srcFile")
+def _task_finishes(events: DataFrame) -> DataFrame:
+    return task_finishes(events).drop("srcFile")
 
 
 def _report_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,32 +94,122 @@ def _report_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 def _job(processor: str, columns: list[str]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         landing, report = shared_folder(spark, "landing"), shared_folder(spark, "report")
-        write_history(tables.history_from_events(spark, folder), landing)
+        write_history(tables.history_from_events(spark, folder), f"{landing}/{EVENTS_BELOW}")
         run_job(spark, processor, landing, report, has_positions=True)
         return spark.read.parquet(report).select(*columns)
 
     return run
 
 
+def _json_job(spark: SparkSession, folder: str) -> DataFrame:
+    """Events as JSON, with records between them that are none."""
+    landing, report = shared_folder(spark, "landing"), shared_folder(spark, "report")
+    lines = tables.history_from_events(spark, folder).select(F.to_json(F.struct(*S.HISTORY_EVENT)).alias("line"))
+    odd = F.when(F.rand(1) < 0.1, F.lit('{"eventType":"TASK_ATTEMPT_FINISHED","eventData":"not a list"}'))
+    lines.select(F.explode(F.array_compact(F.array(odd, "line"))).alias("line")).write.text(landing)
+    run_job(spark, "task_features", landing, report, file_format="json")
+    return spark.read.parquet(report).select(*S.REPORT_COLUMNS)
+
+
+_handed = Processor("handed", S.FEATURE_TYPES, _ids, lambda df, path, _format: df.write.parquet(path))
+
+
+def _limited_job(spark: SparkSession, folder: str) -> DataFrame:
+    """How many events a limited job hands on, how many it made up, and whether tasks share them."""
+    landing, report = shared_folder(spark, "landing"), shared_folder(spark, "report")
+    history = tables.history_from_events(spark, folder)
+    write_history(history.repartition(8, "srcPos"), landing)
+    wanted = C.filter_event_types(history, S.FEATURE_TYPES).select("srcPos")
+    limit = int(wanted.count() * 0.6)
+    with registered(_handed):
+        run_job(spark, _handed.name, landing, report, limit=limit, has_positions=True, one_task_rows=100)
+    handed = spark.read.parquet(report).withColumn("task", F.input_file_name())
+    taken = handed.agg(F.count_distinct("srcPos").alias("taken"), (F.count_distinct("task") > 1).alias("several_tasks"))
+    unknown = handed.join(wanted, "srcPos", "left_anti").agg(F.count(F.lit(1)).alias("unknown")).scalar()
+    return taken.withColumn("unknown", unknown)
+
+
+def _own_processor(spark: SparkSession, folder: str) -> DataFrame:
+    """A processor of one's own that needs callers: what it is handed, by type."""
+    kind = F.when((F.col("eventType") == S.DAG_SUBMITTED) & (F.col("appId") == ""), "NAMED").otherwise(F.col("eventType"))
+
+    def by_type(events: DataFrame) -> DataFrame:
+        return events.groupBy(kind.alias("eventType")).agg(F.count(F.lit(1)).alias("events"))
+
+    own = Processor("by_type", None, by_type, needs_callers=True)
+    return own.apply(tables.history_from_events(spark, folder))
+
+
+def _detail_job(spark: SparkSession, folder: str) -> DataFrame:
+    landing, report = shared_folder(spark, "landing"), shared_folder(spark, "report")
+    write_history(tables.history_from_events(spark, folder), landing)
+    run_job(spark, "task_times", landing, report, has_positions=True, detail_path=f"{report}-detail")
+    return spark.read.parquet(f"{report}-detail").select(*S.DETAIL_COLUMNS)
+
+
+def _report_tables(spark: SparkSession, folder: str) -> DataFrame:
+    database = f"dagtrail_{uuid.uuid4().hex}"
+    create_report_tables(tables.report_from_lineitem(spark, folder), database)
+    return spark.table(f"{database}.averagesbynode")
+
+
 def _stream_task_features(spark: SparkSession, folder: str) -> DataFrame:
-    # as a pattern the path may be a single file, which a stream otherwise refuses
-    raw = spark.readStream.schema(tables.RAW_EVENTS).parquet(f"{folder}/[e]vents.parquet")
-    report, checkpoint = shared_folder(spark, "report"), shared_folder(spark, "stream")
-    features = stream_task_features(tables.attempts_from(raw))
-    write_stream(features, report, checkpoint).awaitTermination()
-    return spark.read.schema(S.TASK_REPORT).parquet(report)
+    arriving = shared_folder(spark, "arriving")
+    write_history(tables.history_from_events(spark, folder), arriving)
+    landing, checkpoint = shared_folder(spark, "landing"), shared_folder(spark, "stream")
+    return stream_task_features(stream_history(spark, arriving), landing, checkpoint)
+
+
+def _stream_ats_features(spark: SparkSession, folder: str) -> DataFrame:
+    logs = shared_folder(spark, "entitylogs")
+    tables.entity_lines_from(tables.history_from_events(spark, folder)).write.text(logs)
+    landing, checkpoint = shared_folder(spark, "landing"), shared_folder(spark, "stream")
+    return stream_task_features(stream_ats(spark, logs, "part-*"), landing, checkpoint)
+
+
+def _entity_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Three files with entities, an empty one, and one of another name."""
+    logs = shared_folder(spark, "entitylogs")
+    lines = tables.entity_lines_from(tables.history_from_events(spark, folder))
+    lines.repartition(3).write.text(logs)
+    spark.range(1, numPartitions=1).where("id < 0").selectExpr("string(id)").write.text(f"{logs}/nothing")
+    lines.limit(1).write.option("compression", "gzip").text(f"{logs}/other")
+    return ats_summary(spark, logs, "part-*.txt")
+
+
+def _hot(fn: Callable[[DataFrame], DataFrame], column: str, value: str) -> Query:
+    """One key with a third of all events, cut into slices."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        events = tables.history_from_events(spark, folder)
+        hot = F.when(F.col("srcPos") % 3 == 0, F.lit(value)).otherwise(F.col(column))
+        before = spark.conf.get(SLICE_ROWS_SETTING, None)
+        spark.conf.set(SLICE_ROWS_SETTING, "100")
+        try:
+            return fn(events.withColumn(column, hot))
+        finally:
+            if before is None:
+                spark.conf.unset(SLICE_ROWS_SETTING)
+            else:
+                spark.conf.set(SLICE_ROWS_SETTING, before)
+
+    return run
+
+
+def _base(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Events and manifest, written and read as they lie below a base directory."""
+    base = shared_folder(spark, "base")
+    write_history(tables.history_from_events(spark, folder), f"{base}/{EVENTS_BELOW}")
+    tables.manifest_from_events(spark, folder).write.parquet(f"{base}/{MANIFEST_BELOW}")
+    return read_base(spark, base)
 
 
 def _manifest_by_app(spark: SparkSession, folder: str) -> DataFrame:
-    manifest = tables.manifest_from_events(spark, folder)
-    return C.manifest_app_ids(manifest).join(
-        manifest.groupBy("appId").agg(F.count(F.lit(1)).alias("entries")), "appId"
-    )
+    return _base(spark, folder)[1].groupBy("appId").agg(F.count(F.lit(1)).alias("entries"))
 
 
 def _events_for_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    manifest = tables.manifest_from_events(spark, folder)
-    return _ids(C.events_for_manifest(tables.history_from_events(spark, folder), manifest))
+    return _ids(C.events_for_manifest(*_base(spark, folder)))
 
 
 def queries() -> dict[str, Query]:
@@ -143,7 +236,7 @@ def queries() -> dict[str, Query]:
         "events_for_manifest": _events_for_manifest,
         "ingest_summary": _on_history(lambda e: C.ingest_summary(e, S.TIME_TYPES)),
         "llap_vertices": _on_history(llap_vertices, S.VERTEX_INITIALIZED),
-        "task_finishes": _on_history(_succeeded_finishes, S.TASK_FINISHED),
+        "task_finishes": _on_history(_task_finishes, S.TASK_FINISHED),
         "task_times": _on_history(task_times, S.DAG_SUBMITTED, *S.TIME_TYPES),
         "time_detail": _on_history(time_detail, S.DAG_SUBMITTED, *S.TIME_TYPES),
         "attempt_placement": _on_history(attempt_starts, S.TASK_ATTEMPT_STARTED),
@@ -152,11 +245,22 @@ def queries() -> dict[str, Query]:
         "task_features": _on_history(task_features, *S.FEATURE_TYPES),
         "ats_events": _on_entities(lambda e: e.drop("srcFile", "srcPos", "eventData")),
         "ats_event_data": _on_entities(_ats_event_data),
-        "ats_task_features": _on_entities(lambda e: task_features(stage_events(e))),
-        "limited_events": _on_history(lambda e: _ids(C.limited_events(e, 100, ["srcPos"]))),
+        "ats_task_features": _on_entities(task_features),
+        "limited_events": _on_history(lambda e: _ids(C.limited_events(e, 100, ["srcPos"], one_task_rows=50))),
         "run_job_features": _job("task_features", S.REPORT_COLUMNS),
         "run_job_times": _job("task_times", S.TIME_COLUMNS),
+        "run_job_features_json": _json_job,
+        "run_job_limited": _limited_job,
+        "own_processor": _own_processor,
+        "time_detail_job": _detail_job,
+        "report_tables": _report_tables,
+        "entity_summary": _entity_summary,
+        "task_features_hot": _hot(
+            lambda e: task_features(e).select("eventTime", "vertexID", S.DURATION_COLUMN), "vertexId", "vertex_1"
+        ),
+        "events_with_caller_hot": _hot(lambda e: _ids(C.with_caller(e)), "dagId", "dag_1"),
         "stream_task_features": _stream_task_features,
+        "stream_ats_features": _stream_ats_features,
     }
 
 

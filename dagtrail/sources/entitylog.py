@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from dagtrail import schemas as S
 from dagtrail.functions import entity as E
-from dagtrail.sources.paths import listed_files, require_directory, store_rows
+from dagtrail.sources.paths import count_files, require_directory, store_rows
 
 FILE_GLOB = "entitylog-*"
 
@@ -71,22 +71,26 @@ def read_ats(spark: SparkSession, path: str, file_glob: str = FILE_GLOB) -> Data
     return store_rows(to_events(read_entity_lines(spark, path, file_glob)), "entity-events")
 
 
-def entity_summary(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
+def entity_summary(lines: DataFrame, files: int | None = None) -> DataFrame:
     """Objects read, objects that are wanted events, and files they came from.
 
-    `files` lists what was read, empty files too; without it the files that gave objects count.
+    `files` is the number of files read, empty ones too; without it the files that gave objects
+    count.
     """
     rows = entities(lines).select("srcFile", E.event_type("entity").isin(S.FEATURE_TYPES).alias("wanted"))
     per_file = rows.groupBy("srcFile").agg(
         F.count(F.lit(1)).alias("total"), F.count_if("wanted").alias("passed")
     )
     total, passed = F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("passed"), F.lit(0))
-    found = (per_file if files is None else files).agg(F.count("srcFile").alias("foundFiles")).scalar()
+    found = F.count("srcFile") if files is None else F.lit(files).cast("bigint")
     return per_file.agg(
-        total.alias("totalEvents"), passed.alias("passedEvents"), (total - passed).alias("rejectedEvents")
-    ).withColumn("foundFiles", found)
+        total.alias("totalEvents"),
+        passed.alias("passedEvents"),
+        (total - passed).alias("rejectedEvents"),
+        found.alias("foundFiles"),
+    )
 
 
 def ats_summary(spark: SparkSession, path: str, file_glob: str = FILE_GLOB) -> DataFrame:
     """The counts of the entity logs below a directory."""
-    return entity_summary(read_entity_lines(spark, path, file_glob), listed_files(spark, path, file_glob))
+    return entity_summary(read_entity_lines(spark, path, file_glob), count_files(spark, path, file_glob))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagtrail import schemas as S
-from dagtrail.operators.stats import succ_task_events
+from dagtrail.operators.stats import WHOLE, succ_task_events
 from dagtrail.sources.paths import require_directory
 
 
@@ -57,10 +57,12 @@ def create_report_tables(report: DataFrame, database: str) -> None:
     """Recreate the analysis tables of a database and collect their statistics.
 
     `taskevents` holds the report, `succtaskevents` the succeeded attempts, kept as a
-    table because most questions start from them.
+    table because most questions start from them. `averagesbynode` is a view of mean and
+    deviation of their durations for each node and task type.
     """
     spark = report.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    spark.sql(f"DROP VIEW IF EXISTS {database}.averagesbynode")
     for name in ("succtaskevents", "taskevents"):
         spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
     report.write.mode("overwrite").format("parquet").saveAsTable(f"{database}.taskevents")
@@ -68,3 +70,13 @@ def create_report_tables(report: DataFrame, database: str) -> None:
     succ_task_events(stored).write.mode("overwrite").format("parquet").saveAsTable(f"{database}.succtaskevents")
     for name in ("taskevents", "succtaskevents"):
         spark.sql(f"ANALYZE TABLE {database}.{name} COMPUTE STATISTICS FOR ALL COLUMNS")
+    n, total = "count(taskDurationMillis)", "sum(cast(taskDurationMillis as decimal(38,0)))"
+    squares = "sum(cast(taskDurationMillis as decimal(38,0)) * taskDurationMillis)"
+    spark.sql(
+        f"""CREATE VIEW {database}.averagesbynode AS
+            SELECT hostname, taskType, count(*) AS tasksInType,
+                   cast(avg(taskDurationMillis) AS {WHOLE}) AS avg,
+                   cast(sqrt(cast({n} * {squares} - {total} * {total} AS double)) / {n} AS {WHOLE}) AS stddev
+              FROM {database}.succtaskevents
+             GROUP BY hostname, taskType"""
+    )

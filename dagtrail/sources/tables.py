@@ -51,8 +51,12 @@ def report_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").selectExpr(*columns)
 
 
-RAW_EVENTS = (
-    "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+# All counters, each with a value of its own: the event's number and the name's place among all names.
+_COUNTERS = "array({})".format(
+    ", ".join(
+        f"""concat('{{"counterName":"{name}","counterValue":', event_id * 100 + {i}, '}}')"""
+        for i, name in enumerate(sorted(S.REPORT_COUNTERS.values()))
+    )
 )
 
 # Source event type -> history event type and the pairs of its payload.
@@ -70,7 +74,7 @@ _HISTORY = {
                           concat(if(user_id % 3 = 0, 'Map ', 'Reducer '), k % 5)),
              named_struct('key', 'numTasks', 'value', string(k)),
              named_struct('key', 'servicePlugin', 'value',
-                          concat('{"taskSchedulerName":"', if(user_id % 4 <> 0, 'LLAP', 'YARN'), '"}')))""",
+                          concat('{"taskSchedulerName":"', if(user_id % 4 <> 0 and k % 10 <> 3, 'LLAP', 'YARN'), '"}')))""",
     ),
     "view": (
         S.TASK_ATTEMPT_STARTED,
@@ -84,12 +88,11 @@ _HISTORY = {
              named_struct('key', 'status', 'value',
                           case k % 10 when 0 then 'KILLED' when 1 then 'FAILED' else 'SUCCEEDED' end),
              named_struct('key', 'counters', 'value', concat(
-                 '{"counterGroups":[{"counters":[{"counterName":"HDFS_BYTES_READ","counterValue":', event_id,
-                 '},{"counterName":"ROWS_EMITTED","counterValue":', k, '}',
+                 '{"counterGroups":[{"counters":[', array_join(""" + _COUNTERS + """, ','), ']},{"counters":[',
                  if(k % 3 <> 0,
-                    concat(',{"counterName":"TASK_DURATION_MILLIS","counterValue":', ms, '}'), ''),
+                    concat('{"counterName":"TASK_DURATION_MILLIS","counterValue":', ms, '}'), ''),
                  ']}]}')),
-             named_struct('key', 'startTime', 'value', string(eventTime - ms)),
+             named_struct('key', 'startTime', 'value', string(eventTime - ms - 7)),
              named_struct('key', 'endTime', 'value', string(eventTime)))""",
     ),
     "error": (
@@ -115,7 +118,8 @@ def _typed(raw: DataFrame, event_type: str, event_data: str) -> DataFrame:
     return named.selectExpr(
         f"{event_type} as eventType",
         "eventTime",
-        "concat('app_', user_id % 7) as appId",
+        # now and then the application is not set
+        "if(event_id % 97 = 0, '', concat('app_', user_id % 7)) as appId",
         "concat('dag_', user_id % 35) as dagId",
         "concat('vertex_', user_id) as vertexId",
         "concat('task_', user_id, '_', k % 20) as taskId",
@@ -145,36 +149,6 @@ def history_from(raw: DataFrame, types: list[str] | None = None) -> DataFrame:
     return reduce(DataFrame.unionByName, branches)
 
 
-def attempts_from(raw: DataFrame) -> DataFrame:
-    """One attempt per event, with its vertex, start and finish; batch or stream.
-
-    All ids are unique, as they are in real histories.
-    """
-    named = raw.selectExpr(
-        "event_id",
-        "user_id",
-        "cast(regexp_extract(props, '[0-9]+', 0) as bigint) as k",
-        "cast(floor(value * 100) as bigint) as ms",
-        "unix_millis(cast(ts as timestamp)) as eventTime",
-    )
-    kinds = ", ".join(
-        f"struct('{made[0]}' as eventType, {made[1]} as eventData)"
-        for made in (_HISTORY[raw_type] for raw_type in ("click", "view", "purchase"))
-    )
-    return named.selectExpr("*", f"inline(array({kinds}))").selectExpr(
-        "eventType",
-        "eventTime",
-        "concat('app_', user_id % 7) as appId",
-        "concat('dag_', user_id % 35) as dagId",
-        "concat('vertex_', event_id) as vertexId",
-        "concat('task_', event_id) as taskId",
-        "concat('attempt_', event_id) as taskAttemptId",
-        "eventData",
-        "'events' as srcFile",
-        "event_id as srcPos",
-    )
-
-
 def history_from_events(spark: SparkSession, folder: str, types: list[str] | None = None) -> DataFrame:
     return history_from(table(spark, folder, "events"), types)
 

@@ -1,9 +1,10 @@
-"""The task report on an unbounded stream of events.
+"""The task report on a growing input.
 
-State is bounded by event time: what lies more than `horizon` apart is not joined, and
-what the watermark has passed is forgotten. A finish without a start is therefore
-reported only once the watermark shows that no start can follow; bounded input is
-better served by the batch report.
+A vertex may start again and an attempt's start may arrive after its finish, so no row of
+the report is final while events can follow. The stream therefore parses every event once
+and appends it to a landing table, and the report is made from that table by the operator
+that the batch uses: after each run it is what the batch would say of all that has arrived,
+with no horizon beyond which events are forgotten and no state that grows in memory.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,119 +12,67 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dagtrail import schemas as S
-from dagtrail.functions.payload import blank, kv, with_counters
-from dagtrail.operators.features import attempt_finishes
-from dagtrail.operators.vertices import vertices
+from dagtrail.operators.features import task_features
 from dagtrail.sources.entitylog import FILE_GLOB, to_events
-from dagtrail.sources.history import positioned
+from dagtrail.sources.history import REJECTED, positioned, read_history, write_history
 from dagtrail.sources.paths import require_directory
 
 
 def stream_history(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
     """Events of a growing directory of event tables, in the batch schema.
 
-    Only Parquet gives events a position; streams do not need one.
+    JSON records that do not fit carry their text in a column more; see `write_stream`.
     """
     require_directory(spark, path)
-    reader = spark.readStream.schema(S.ddl(S.HISTORY_EVENT)).option("recursiveFileLookup", True)
+    reader = spark.readStream.option("recursiveFileLookup", True)
     if file_format == "parquet":
-        return positioned(reader.parquet(path))
+        return positioned(reader.schema(S.ddl(S.HISTORY_EVENT)).parquet(path))
     if file_format == "json":
-        return reader.json(path)
+        schema = S.ddl({**S.HISTORY_EVENT, REJECTED: "string"})
+        events = reader.schema(schema).option("columnNameOfCorruptRecord", REJECTED).json(path)
+        return events.withColumn("srcFile", F.coalesce("srcFile", F.col("_metadata.file_path")))
     raise ValueError(f"unknown file format {file_format!r}, expected parquet or json")
 
 
-def stream_ats(spark: SparkSession, path: str) -> DataFrame:
+def stream_ats(spark: SparkSession, path: str, file_glob: str = FILE_GLOB) -> DataFrame:
     """Events of a growing directory of entity logs."""
     require_directory(spark, path)
-    lines = (
-        spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", FILE_GLOB).text(path)
-    )
+    lines = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", file_glob).text(path)
     return to_events(lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("srcFile")))
 
 
-def _at(rows: DataFrame, column: str, delay: str) -> DataFrame:
-    """Replace `eventTime` by a watermarked timestamp."""
-    timed = rows.withColumn(column, F.timestamp_millis("eventTime")).drop("eventTime")
-    return timed.withWatermark(column, delay)
-
-
-def _near(left: str, right: str, horizon: str):
-    span = F.expr(f"interval {horizon}")
-    return (F.col(left) >= F.col(right) - span) & (F.col(left) <= F.col(right) + span)
-
-
-def _llap_names(events: DataFrame, delay: str, slices: int) -> DataFrame:
-    """LLAP vertices, repeated once per slice: a vertex with very many attempts is
-    then spread over that many state partitions."""
-    llap = vertices(events).where(F.col("isLlap") & F.col("vertexId").isNotNull())
-    names = llap.select(
-        F.col("vertexId").alias("initializedId"), "vertexName",
-        F.col("numTasks").alias("vertexNumTasks"), "eventTime",
-    )
-    once = _at(names, "vertexAt", delay).dropDuplicatesWithinWatermark(["initializedId"])
-    return once.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-
+def write_stream(
+    events: DataFrame, landing: str, checkpoint: str, interval: str | None = None
+) -> StreamingQuery:
+    """Append events to a landing table, each batch of them in a folder of its own.
 
-def _placements(events: DataFrame, delay: str, horizon: str) -> DataFrame:
-    """Node and container of the first finish of an attempt, keyed by attempt and time.
+    A batch that is run again replaces what it wrote. A file arrives in one batch as a whole,
+    so positions counted there rise along it. Records that do not fit are kept beside the
+    table, in the folder with `-rejected` at its end.
 
-    Attempts without an id get none: they would all share one key of the state."""
-    named = events.where(~blank(F.col("taskAttemptId")))
-    starts = named.where(F.col("eventType") == S.TASK_ATTEMPT_STARTED).select(
-        F.col("taskAttemptId").alias("startedId"), kv("nodeId").alias("nodeID"),
-        kv("containerId").alias("contID"), "eventTime",
-    )
-    first = attempt_finishes(named).select(F.col("taskAttemptId").alias("finishedId"), "eventTime")
-    starts = _at(starts, "startAt", delay).dropDuplicatesWithinWatermark(["startedId"])
-    first = _at(first, "firstAt", delay).dropDuplicatesWithinWatermark(["finishedId"])
-    same = (F.col("finishedId") == F.col("startedId")) & _near("startAt", "firstAt", horizon)
-    return first.join(starts, same).select("finishedId", "firstAt", "nodeID", "contID")
+    Without an interval the query takes what is there and ends; started again with the same
+    checkpoint it goes on where it stopped.
+    """
 
+    def land(batch: DataFrame, batch_id: int) -> None:
+        counted = batch.withColumn("srcPos", F.coalesce("srcPos", F.monotonically_increasing_id()))
+        if REJECTED in batch.columns:
+            odd = counted.where(F.col(REJECTED).isNotNull()).select("srcFile", "srcPos", REJECTED)
+            odd.write.mode("overwrite").parquet(f"{landing}-rejected/batch-{batch_id}")
+            counted = counted.where(F.col(REJECTED).isNull())
+        write_history(counted, f"{landing}/batch-{batch_id}")
 
-def stream_task_features(
-    events: DataFrame, delay: str = "10 minutes", horizon: str = "1 day", slices: int = 8
-) -> DataFrame:
-    """The task report as an append-only stream.
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
+    writer = events.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+    return writer.trigger(**trigger).start()
 
-    `delay` is how late events may arrive, `horizon` how far a finish may be from its
-    start and from the start of its vertex. A vertex counts as first seen, and a start
-    goes to the first finish of its attempt that arrives.
-    """
-    finishes = attempt_finishes(events).select(
-        "eventTime",
-        F.col("appId").alias("applID"),
-        F.col("vertexId").alias("vertexID"),
-        F.col("dagId").alias("dagID"),
-        F.col("taskId").alias("taskID"),
-        F.col("taskAttemptId").alias("attemptId"),
-        kv("status").alias("status"),
-        "eventData",
-    )
-    counted = with_counters(finishes).withColumn(
-        "part", F.pmod(F.xxhash64("attemptId", "eventTime"), F.lit(slices)).cast("int")
-    )
-    same_vertex = (
-        (F.col("vertexID") == F.col("initializedId"))
-        & (F.col("part") == F.col("slice"))
-        & _near("vertexAt", "finishAt", horizon)
-    )
-    named = _at(counted, "finishAt", delay).join(_llap_names(events, delay, slices), same_vertex)
-    # one event-time column may go on from here
-    named = named.drop("vertexAt")
-    same_finish = (F.col("attemptId") == F.col("finishedId")) & (F.col("finishAt") == F.col("firstAt"))
-    rows = named.join(_placements(events, delay, horizon), same_finish, "left")
-    return rows.withColumn("eventTime", F.unix_millis("finishAt")).select(*S.REPORT_COLUMNS)
 
+def landed_events(spark: SparkSession, landing: str) -> DataFrame:
+    """All events that have arrived."""
+    return read_history(spark, landing, has_positions=True)
 
-def write_stream(
-    features: DataFrame, path: str, checkpoint: str, interval: str | None = None
-) -> StreamingQuery:
-    """Append report rows to a directory.
 
-    Without an interval the query takes what is there and ends; started again with
-    the same checkpoint it goes on where it stopped.
-    """
-    writer = features.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-    trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return writer.outputMode("append").trigger(**trigger).start()
+def stream_task_features(events: DataFrame, landing: str, checkpoint: str) -> DataFrame:
+    """Take what has arrived, and the task report of all events so far."""
+    write_stream(events, landing, checkpoint).awaitTermination()
+    return task_features(landed_events(events.sparkSession, landing))

@@ -1,18 +1,22 @@
 """Sources, reports and jobs on files."""
 
 import json
+import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from dagtrail import schemas as S
 from dagtrail.operators import stats
+from dagtrail.operators.callers import limited_events
 from dagtrail.operators.features import task_features
 from dagtrail.operators.times import task_times, time_detail
 from dagtrail.plans.jobs import main, run_job
-from dagtrail.plans.processors import Processor, find, processors, register
+from dagtrail.plans.processors import Processor, find, processors, register, registered
 from dagtrail.sources import report as R
+from dagtrail.sources.entitylog import ats_summary
 from dagtrail.sources.events import read_events
-from dagtrail.sources.history import read_history, read_manifest, write_history
+from dagtrail.sources.history import read_history, read_json_history, read_manifest, write_history
 from tests.samples import event, finish, frame, start, submitted, task, vertex
 from tests.test_entitylog import as_entity
 
@@ -204,3 +208,70 @@ def test_command_line(spark, tmp_path, history):
     assert R.read_task_report(spark, out).count() == 2
     with pytest.raises(SystemExit):
         main(["nothing", "-i", history, "-o", out])
+
+
+def test_one_bad_record_loses_only_itself(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    good = [vertex("v1"), *[finish(f"a{i}", "v1", time=i + 1) for i in range(10)]]
+    lines = [json.dumps(r.asDict(True)) for r in frame(spark, good).drop("srcFile", "srcPos").collect()]
+    broken = json.loads(lines[4]) | {"eventData": "not a list"}
+    lines[4] = json.dumps(broken)
+    (landing / "a.json").write_text("\n".join(lines))
+    assert task_features(read_history(spark, str(landing), "json")).count() == 9
+    run_job(spark, "task_features", str(landing), str(tmp_path / "report"), file_format="json", summary_path=str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "report")).count() == 9
+    assert spark.read.json(str(tmp_path / "s")).first().totalEvents == 10
+    events, rejected = read_json_history(spark, str(landing))
+    assert (events.count(), [json.loads(r.rejectedRecord) for r in rejected.collect()]) == (10, [broken])
+
+
+def test_events_without_identity_are_not_multiplied(spark):
+    events = frame(spark, [vertex("v1"), *[finish(None, "v1", time=5) for _ in range(4)]])
+    unset = events.withColumn("srcFile", F.lit(None).cast("string")).withColumn("srcPos", F.lit(None).cast("bigint"))
+    assert task_features(unset).count() == 4
+
+
+@pytest.mark.parametrize("order", [None, ["srcPos"]])
+@pytest.mark.parametrize("limit", [1, 299, 1000])
+def test_limits_over_many_tasks(spark, order, limit):
+    events = frame(spark, [finish(f"a{i}", "v1", time=i) for i in range(600)]).repartition(6)
+    found = limited_events(events, limit, order, one_task_rows=0)
+    rows = [r.srcPos for r in found.collect()]
+    assert len(rows) == len(set(rows)) == min(limit, 600)
+    if order:
+        assert sorted(rows) == sorted(r.srcPos for r in events.collect())[:limit]
+    elif limit == 299:
+        assert found.rdd.getNumPartitions() > 1
+
+
+def test_a_processor_that_takes_all_is_handed_each_event_once(spark, tmp_path):
+    landing = str(tmp_path / "landing")
+    write_history(frame(spark, [submitted("c"), vertex("v1")]), landing)
+    own = Processor("all", None, lambda e: e, lambda df, path, _: df.write.parquet(path), needs_callers=True)
+    with registered(own):
+        run_job(spark, "all", landing, str(tmp_path / "limited"), limit=10)
+        run_job(spark, "all", landing, str(tmp_path / "whole"))
+    assert spark.read.parquet(str(tmp_path / "limited")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "whole")).count() == 2
+
+
+def test_stored_events_are_removed(spark, tmp_path):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    landing = str(tmp_path / "landing")
+    write_history(frame(spark, [vertex("v1"), finish("a", "v1")]), landing)
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    run_job(spark, "task_features", landing, str(tmp_path / "report"), limit=5)
+    failing = Processor("failing", None, lambda e: e, lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError), registered(failing):
+        run_job(spark, "failing", landing, str(tmp_path / "none"), limit=5)
+    assert set(os.listdir(shared)) == before
+
+
+def test_files_without_events_count(spark, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    (logs / "entitylog-1").write_text('{"entity":"a","events":[]}')
+    (logs / "entitylog-2").write_text("")
+    (logs / "other").write_text("{}")
+    assert tuple(ats_summary(spark, str(logs)).first()) == (1, 0, 1, 2)

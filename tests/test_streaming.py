@@ -1,10 +1,11 @@
 """The streaming report against the batch report."""
 
+import json
+
 import pytest
 
-from dagtrail import schemas as S
 from dagtrail.operators.features import task_features
-from dagtrail.streaming.features import stream_ats, stream_history, stream_task_features, write_stream
+from dagtrail.streaming.features import landed_events, stream_ats, stream_history, stream_task_features
 from tests.samples import finish, frame, start, vertex
 
 HOUR = 3_600_000
@@ -15,39 +16,49 @@ def _append(df, folder):
 
 
 def _run(spark, events, base):
-    out, checkpoint = str(base / "report"), str(base / "checkpoint")
-    query = write_stream(stream_task_features(events, "1 hour", "6 hours", slices=3), out, checkpoint)
-    query.awaitTermination()
-    return spark.read.schema(S.TASK_REPORT).parquet(out)
+    return stream_task_features(events, str(base / "landing"), str(base / "checkpoint"))
 
 
 def _sorted(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-def test_stream_equals_batch_once_the_watermark_has_passed(spark, tmp_path):
+def test_stream_equals_batch_after_each_arrival(spark, tmp_path):
     folder = str(tmp_path / "events")
-    first = [
-        vertex("v1", time=HOUR),
-        vertex("v2", scheduler="YARN", time=HOUR),
-        start("a1", "v1", time=HOUR + 1),
-        start("a3", "v2", time=HOUR + 1),
-        finish("a1", "v1", time=HOUR + 5),
-        finish("a1", "v1", time=HOUR + 9, status="FAILED"),
-        finish("a2", "v1", time=HOUR + 6),  # never started
-        finish("a3", "v2", time=HOUR + 7),  # not LLAP
+    arrivals = [
+        [vertex("v1", name="Map 1", time=HOUR), vertex("v2", scheduler="YARN", time=HOUR), finish("a2", "v1", time=HOUR + 6)],
+        [finish("a1", "v1", time=HOUR + 5), start("a1", "v1", time=HOUR + 1), finish("", "v1", time=HOUR + 5)],
+        # an earlier and a later start of the vertex, three days after its first finish, and its finish
+        [vertex("v1", name="Map 9", time=72 * HOUR), vertex("v1", name="Map 0", time=1), finish("a1", "v1", time=80 * HOUR)],
+        [finish("a3", "v2", time=HOUR + 7), start("a3", "v2", time=HOUR + 1), finish("a1", "v1", time=HOUR + 4)],
     ]
-    # one event of each kind far ahead moves every watermark
-    later = [vertex("v9", time=50 * HOUR), start("a9", "v9", time=50 * HOUR), finish("a9", "v9", time=50 * HOUR)]
-    batch = task_features(frame(spark, first + later))
-    _append(frame(spark, first), folder)
-    early = _run(spark, stream_history(spark, folder), tmp_path)
-    assert early.where("nodeID is null").count() == 0  # a start could still arrive
-    _append(frame(spark, later), folder)
-    _run(spark, stream_history(spark, folder), tmp_path)
-    report = _run(spark, stream_history(spark, folder), tmp_path)
-    assert _sorted(report) == _sorted(batch)
-    assert report.where("nodeID is null").count() == 2
+    so_far = []
+    for events in arrivals:
+        so_far += events
+        _append(frame(spark, events), folder)
+        report = _run(spark, stream_history(spark, folder), tmp_path)
+        assert _sorted(report) == _sorted(task_features(frame(spark, so_far)))
+    assert {r.vertexName for r in report.collect()} == {"Map 9"}
+    assert report.count() == 5 and report.where("nodeID is not null").count() == 1
+
+
+def test_a_batch_run_again_replaces_what_it_wrote(spark, tmp_path):
+    folder = str(tmp_path / "events")
+    _append(frame(spark, [vertex("v1"), finish("a1", "v1")]), folder)
+    for run in ("one", "two"):
+        stream_task_features(stream_history(spark, folder), str(tmp_path / "landing"), str(tmp_path / run))
+    assert landed_events(spark, str(tmp_path / "landing")).count() == 2
+
+
+def test_stream_of_json_keeps_rejected_records(spark, tmp_path):
+    folder = tmp_path / "events"
+    folder.mkdir()
+    good = [r.asDict(True) for r in frame(spark, [vertex("v1"), finish("a1", "v1")]).drop("srcFile", "srcPos").collect()]
+    lines = [json.dumps(good[0]), '{"eventType":"TASK_ATTEMPT_FINISHED","eventData":"odd"}', json.dumps(good[1]), '{"eve']
+    (folder / "a.json").write_text("\n".join(lines))
+    assert _run(spark, stream_history(spark, str(folder), "json"), tmp_path).count() == 1
+    rejected = spark.read.parquet(str(tmp_path / "landing-rejected/batch-0"))
+    assert sorted(rejected.toPandas()["rejectedRecord"]) == sorted([lines[1], lines[3]])
 
 
 def test_stream_of_entity_logs(spark, tmp_path):
