@@ -49,11 +49,11 @@ def repetition_rates(sizes: DataFrame, weights: DataFrame) -> DataFrame:
     """
     known = sizes.join(weights.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     known = known.select("source", "size", "weight")
-    with_text = known.where("size > 0").agg(F.sum("weight").alias("weights"), F.sum("size").alias("sizes"))
-    share = (F.col("weight") / F.col("weights")) / (F.col("size") / F.col("sizes"))
-    rate = F.when(F.col("size") > 0, share).otherwise(F.lit(1.0))
-    # one row of totals, which may be absent
-    return known.join(F.broadcast(with_text)).select("source", rate.alias("rate"))
+    with_text = known.where("size > 0")
+    weights_in_all = with_text.agg(F.sum("weight").alias("weights")).scalar()
+    size_in_all = with_text.agg(F.sum("size").alias("sizes")).scalar()
+    share = (F.col("weight") / weights_in_all) / (F.col("size") / size_in_all)
+    return known.select("source", F.when(F.col("size") > 0, share).otherwise(F.lit(1.0)).alias("rate"))
 
 
 def _tables(rates: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GRAMS = (3, 4, 5)
-BUCKETS = 1 << 14
+BUCKETS = 1 << 18
 REGULARISATION = 0.001
 ITERATIONS = 50
 
@@ -39,14 +39,10 @@ ALLOWED_SITES = (
     "nature reading evening morning rating hanging hesitate restore orient instead ready bread breath wheel whole that "
     "thesis shadow shepherd tower iron season lesson reason person ration torch north smooth month tenth growth"
 ).split()
-# Each site is met in these forms, so that they say nothing about it.
-FORMS = (
-    "https://{}.example.com/en/12",
-    "http://www.{}.example.net/de/7.html",
-    "https://m.{}.example.org/fr/340?page=2&ref=x",
-    "https://blog.{}.example.com/es/81/",
-    "http://{}.example.org/en/455#top",
-)
+# Each site is met with all of these, so that they say nothing about it.
+PREFIXES = ("", "www.", "m.", "blog.")
+ENDINGS = ("example.com", "example.net", "example.org")
+PATHS = ("/en/12", "/de/745.html", "/fr/340?page=2&ref=x", "/es/81/", "/en/455#top", "/de/9", "/fr/67/", "/es/202", "/")
 
 
 def host(url: Column) -> Column:
@@ -98,7 +94,12 @@ def grams(host: Column, path: Column) -> Column:
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The table of labelled URLs: url, and label 1.0 for what is blocked."""
     sites = [(x, 1.0) for x in BLOCKED_SITES] + [(x, 0.0) for x in ALLOWED_SITES]
-    pairs = [(form.format(site), label) for site, label in sites for form in FORMS]
+    hosts = [(prefix, ending) for prefix in PREFIXES for ending in ENDINGS]
+    pairs = [
+        (f"https://{prefix}{site}.{ending}{PATHS[(i + j) % len(PATHS)]}", label)
+        for i, (site, label) in enumerate(sites)
+        for j, (prefix, ending) in enumerate(hosts)
+    ]
     rows = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(label).alias("label")) for u, label in pairs])
     return spark.range(1, numPartitions=1).select(F.inline(rows))
 
