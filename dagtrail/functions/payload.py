@@ -89,8 +89,8 @@ def counters(document: Column, names: list[str]) -> Column:
     return F.filter(found, lambda c: c["counterName"].isin(names))
 
 
-def counter_values(document: Column, names: list[str]) -> Column:
-    """Values of the first counter with each name, in the order of the names.
+def counter_texts(document: Column, names: list[str]) -> Column:
+    """Values of the first counter with each name as they are written, in the order of the names.
 
     One array instead of one expression per name: two dozen lookups side by side make
     generated code too long for the JVM to compile.
@@ -105,7 +105,12 @@ def counter_values(document: Column, names: list[str]) -> Column:
     def apart(found: Column) -> Column:
         return F.struct(found["counterName"].alias("names"), found["counterValue"].alias("values"))
 
-    return _let(_let(counters(document, names), apart), look_up).try_cast("array<bigint>")
+    return _let(_let(counters(document, names), apart), look_up)
+
+
+def counter_values(document: Column, names: list[str]) -> Column:
+    """The same as whole numbers; what is none, or beyond 64 bits, is NULL."""
+    return counter_texts(document, names).try_cast("array<bigint>")
 
 
 def task_duration(counter: Column) -> Column:

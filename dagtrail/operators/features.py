@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dagtrail import schemas as S
-from dagtrail.functions.payload import kv, with_counters
+from dagtrail.functions.payload import counter_texts, kv, with_counters
 from dagtrail.operators.lookup import lookup_join
 from dagtrail.operators.vertices import attempt_starts, llap_vertices
 
@@ -63,3 +63,15 @@ def task_features(events: DataFrame) -> DataFrame:
     named = lookup_join(with_counters(finishes), names, "vertexId", FINISH, weigh=_ids(events))
     rows = named.withColumnRenamed("vertexId", "vertexID").join(placements(events, names), FINISH, "left")
     return rows.select(*S.REPORT_COLUMNS)
+
+
+def lost_counters(events: DataFrame) -> DataFrame:
+    """Counter and number of its values that the report has as NULL though they are there:
+    fractions, and numbers beyond 64 bits."""
+    names = [S.DURATION_COUNTER, *S.REPORT_COUNTERS.values()]
+    texts = counter_texts(kv("counters"), names)
+    wanted = F.array(*[F.lit(n) for n in names])
+    finishes = events.where(F.col("eventType") == S.TASK_ATTEMPT_FINISHED)
+    values = finishes.select(F.explode(F.map_from_arrays(wanted, texts)).alias("counter", "value"))
+    lost = values.where(F.col("value").isNotNull() & F.col("value").try_cast("bigint").isNull())
+    return lost.groupBy("counter").agg(F.count(F.lit(1)).alias("lost"))

@@ -6,9 +6,9 @@ import pytest
 
 from dagtrail import schemas as S
 from dagtrail.operators import lookup as L
-from dagtrail.operators.features import task_features
+from dagtrail.operators.features import lost_counters, task_features
 from dagtrail.operators.vertices import attempt_starts, llap_vertices, vertices
-from tests.samples import event, finish, frame, start, vertex
+from tests.samples import counter_doc, event, finish, frame, start, vertex
 
 
 def placed(df):
@@ -145,3 +145,9 @@ def test_order_and_partitions_do_not_matter(spark, sliced):
     finally:
         for k in settings:
             spark.conf.unset(k)
+
+
+def test_lost_counters(spark):
+    docs = [counter_doc([("CREATED_FILES", v), ("ROWS_EMITTED", 5), ("OTHER", 1.5)]) for v in (1, 1.5, 10**25, None)]
+    events = [finish(f"a{i}", counters=d) for i, d in enumerate(docs)]
+    assert [tuple(r) for r in lost_counters(frame(spark, events)).collect()] == [("CREATED_FILES", 2)]
