@@ -1,67 +1,16 @@
 """Helpers the corpus operators share."""
 
-from collections.abc import Callable, Iterable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagtrail.sources.paths import shared_folder
-
-# Rows an Arrow function gathers before it hands them on.
+# Rows an Arrow function works on before it hands them on.
 BATCH_ROWS = 2000
-# The same for rows that carry data of unknown length.
-BATCH_BYTES = 8 * 1024 * 1024
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def store(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
-    """Write rows to a new table in the shared folder and go on from that table.
-
-    This cuts the lineage: a lost executor costs a read of files, not the work before.
-    """
-    path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path, partitionBy=partition_by)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def first_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, whatever others there are."""
     return df.select(*[F.col(n) for n in names])
-
-
-def map_rows(df: DataFrame, start: Callable[[], Callable[[dict], Iterable[tuple]]], schema: str) -> DataFrame:
-    """Run a per-row function over Arrow batches.
-
-    `start` runs once for each partition and returns the function that takes a row's values
-    in column order and gives the rows made of it.
-    """
-    target = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(target)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows_of = start()
-        made: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for row in rows_of(*values):
-                    made.append(row)
-                    size += sum(len(x) for x in row if isinstance(x, bytes | str))
-                if len(made) >= BATCH_ROWS or size >= BATCH_BYTES:
-                    yield _batch(made, arrow)
-                    made, size = [], 0
-        if made:
-            yield _batch(made, arrow)
-
-    return df.mapInArrow(run, target)
-
-
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)

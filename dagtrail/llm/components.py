@@ -10,7 +10,7 @@ Spark can split and by a minimum that is combined before the shuffle.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dagtrail.llm.common import store
+from dagtrail.sources.paths import store_rows
 
 
 def _to_smallest(edges: DataFrame) -> DataFrame:
@@ -43,10 +43,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where(F.col(one) != F.col(other)).select(
         F.greatest(one, other).alias("node"), F.least(one, other).alias("near")
     )
-    edges = store(edges.distinct(), "stars")
+    edges = store_rows(edges.distinct(), "stars")
     mark = _mark(edges)
     while mark[0]:
-        edges = store(_round(edges), "stars")
+        edges = store_rows(_round(edges), "stars")
         before, mark = mark, _mark(edges)
         if mark == before:
             break

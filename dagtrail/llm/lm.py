@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from dagtrail.llm.common import first_columns, store
+from dagtrail.llm.common import first_columns
 from dagtrail.llm.lbl import CLASSES, SIZE, Parameters, Scorer, Trainer
+from dagtrail.sources.paths import store_rows
 
 # The end of a text; no word is empty.
 END = ""
@@ -234,10 +235,10 @@ def score_documents(documents: DataFrame, held_out: Column, rounds: int = ROUNDS
     training texts every base probability is 1 and the model knows two classes.
     """
     training = documents.where(~held_out)
-    counts = store(word_counts(training), "counts")
+    counts = store_rows(word_counts(training), "counts")
     head = Head(counts)
     rows = train(training, head, rounds)
-    scored = store(_score_known(documents, held_out, head, rows), "scored")
+    scored = store_rows(_score_known(documents, held_out, head, rows), "scored")
     rest = scored.select("row", F.inline("rest"))
     found = rest.join(counts, "word").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rest_logs"), F.sum("times").alias("rest_known")

@@ -9,7 +9,7 @@ for itself, again the same way in each run, and no counts per source have to be
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dagtrail.llm.common import store
+from dagtrail.sources.paths import store_rows
 
 ALPHA = 0.5
 SEED = 42
@@ -96,9 +96,9 @@ def mix(
     alike draw alike. A null text counts as empty. An empty table gives none.
     """
     rows = documents.drop("copy", "place", "_draws", "_upto", "_slice")
-    sizes = store(source_sizes(rows), "sizes")
+    sizes = store_rows(source_sizes(rows), "sizes")
     rates = repetition_rates(sizes, temperature_weights(sizes, alpha) if weights is None else weights)
-    tables = store(_tables(rates), "rates")
+    tables = store_rows(_tables(rates), "rates")
     same = F.col("source").eqNullSafe(F.col("_source"))
     if tables.count() <= MAX_SENT_SOURCES:
         known = rows.join(F.broadcast(tables), same)

@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from dagtrail.llm.common import first_columns, store
+from dagtrail.llm.common import first_columns
 from dagtrail.llm.encoding import ID_BYTES, encoder
+from dagtrail.sources.paths import store_rows
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, turn long"
@@ -154,7 +155,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Sequences are numbered from 0. An empty table has none.
     """
     per_task = pieces.groupBy("part", "length").agg((F.max("turn") + 1).alias("n"))
-    per_task = store(per_task, "lengths")
+    per_task = store_rows(per_task, "lengths")
     # at most `capacity` rows
     counts = {r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = _Places(plan_sequences(counts, capacity))
@@ -178,4 +179,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Encode, cut and pack documents; see `cut_pieces` and `pack`."""
-    return pack(store(cut_pieces(documents, tokenizer, end_id, capacity), "pieces"), capacity)
+    return pack(store_rows(cut_pieces(documents, tokenizer, end_id, capacity), "pieces"), capacity)

@@ -23,8 +23,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dagtrail.llm.common import first_columns, store
+from dagtrail.llm.common import first_columns
 from dagtrail.llm.components import components
+from dagtrail.sources.paths import store_rows
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
@@ -227,11 +228,11 @@ def _blocks(members: DataFrame) -> DataFrame:
 def near_links(distinct: DataFrame) -> DataFrame:
     """Links between unlike fingerprints, enough to connect all that links of at most
     `MAX_DISTANCE` differing bits connect: columns one and other, stored."""
-    found = store(_linked(_cells(distinct), ["combo", "cell"], LARGE_CELL), "links")
+    found = store_rows(_linked(_cells(distinct), ["combo", "cell"], LARGE_CELL), "links")
     links, members = found.where("other is not null"), found.where("other is null")
     if not members.isEmpty():
         more = _linked(_blocks(members), ["combo", "cell", "low", "high"], None)
-        links = links.unionByName(store(more, "links"))
+        links = links.unionByName(store_rows(more, "links"))
     return links.select("one", "other")
 
 
@@ -242,8 +243,8 @@ def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) ->
     Every row is answered, repeated ids too. Null ids are answered but name no component;
     where all ids of a component are null, so is its name.
     """
-    rows = store(fingerprints(documents, shingle_words), "fingerprints")
-    distinct = store(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
+    rows = store_rows(fingerprints(documents, shingle_words), "fingerprints")
+    distinct = store_rows(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(near_links(distinct.select("fingerprint")))
     named = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = named.withColumn("root", F.coalesce("root", "fingerprint"))

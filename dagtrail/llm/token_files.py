@@ -15,8 +15,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dagtrail.llm.common import first_columns, store
+from dagtrail.llm.common import first_columns
 from dagtrail.llm.encoding import encoder
+from dagtrail.sources.paths import store_rows
 
 ID = np.dtype("<u2")
 SEPARATOR = 0
@@ -106,7 +107,7 @@ def token_counts(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES)
     Tokens after a file's last separator are a last, incomplete document. Empty files have none; a
     last odd byte is left out.
     """
-    ends = store(document_ends(spark, path, block_bytes), "ends")
+    ends = store_rows(document_ends(spark, path, block_bytes), "ends")
     per_block = ends.groupBy("file", "block").agg(
         F.count(F.lit(1)).alias("n"), (F.max("ended") + 1).alias("next_start")
     )

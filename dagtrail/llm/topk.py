@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dagtrail.llm.common import store
+from dagtrail.sources.paths import store_rows
 
 K = 20
 SCALE = 64
@@ -82,7 +82,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     `vectors` has vec_id and vector (array of longs; shorter ones are filled with zeros). Rows are told
     apart, so a repeated id is searched for and found as often as it occurs. An empty table gives none.
     """
-    rows = store(vectors.select("vec_id", "vector").withColumn("row", F.monotonically_increasing_id()), "vectors")
+    rows = store_rows(vectors.select("vec_id", "vector").withColumn("row", F.monotonically_increasing_id()), "vectors")
     sizes = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), F.max(F.size("vector")).alias("w"))
     n, q, longest = sizes.first()
     width = max(longest or 0, 1)
