@@ -59,8 +59,8 @@ def _blocks(spark: SparkSession, path: str, block_bytes: int) -> DataFrame:
     last = F.floor((F.col("length") - 1) / block_bytes).cast("int")
     blocks = whole.withColumn("block", F.explode(F.sequence(F.lit(0), last)))
     offset = F.col("block").cast("long") * block_bytes
-    blocks = blocks.select("file", "block", offset.alias("offset"), F.least(F.lit(block_bytes), F.col("length") - offset).alias("size"))
-    return blocks.repartition("file", "block")
+    size = F.least(F.lit(block_bytes), F.col("length") - offset)
+    return blocks.select("file", "block", offset.alias("offset"), size.alias("size")).repartition("file", "block")
 
 
 def _open(uri: str):
@@ -126,11 +126,16 @@ def token_counts(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES)
         (F.col("ended") - start).alias("n_tokens"),
         F.lit(True).alias("complete"),
     )
-    files = _blocks(spark, path, block_bytes).groupBy("file").agg((F.sum("size") / ID.itemsize).cast("long").alias("size"))
+    sizes = (F.sum("size") / ID.itemsize).cast("long")
+    files = _blocks(spark, path, block_bytes).groupBy("file").agg(sizes.alias("size"))
     ended = per_block.groupBy("file").agg(F.sum("n").alias("n"), F.max("next_start").alias("next_start"))
     start = F.coalesce("next_start", F.lit(0))
     rest = files.join(ended, "file", "left").where(F.col("size") > start)
     rest = rest.select(
-        "file", F.coalesce("n", F.lit(0)).alias("document"), start.alias("start"), (F.col("size") - start).alias("n_tokens"), F.lit(False).alias("complete")
+        "file",
+        F.coalesce("n", F.lit(0)).alias("document"),
+        start.alias("start"),
+        (F.col("size") - start).alias("n_tokens"),
+        F.lit(False).alias("complete"),
     )
     return whole.unionByName(rest)

@@ -97,9 +97,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     all_columns = F.explode(F.sequence(F.lit(0), F.lit(grid_columns - 1)).cast("array<bigint>")).alias("across")
     # the two sides of a cogroup must not share columns
     spread = rows.select(*[F.col(c).alias(c) for c in ("vec_id", "row", "vector")], of_row, all_columns)
-    asked = rows.where(is_query).select(
-        F.col("vec_id").alias("query_id"), F.col("row").alias("query_row"), F.col("vector").alias("query"), all_rows, of_column
-    )
+    names = {"vec_id": "query_id", "row": "query_row", "vector": "query"}
+    asked = rows.where(is_query).select(*[F.col(c).alias(n) for c, n in names.items()], all_rows, of_column)
 
     def tile(asked: pa.Table, found: pa.Table) -> pa.Table:
         made: dict[str, list] = {c: [] for c in types}
