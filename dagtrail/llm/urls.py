@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GRAMS = (3, 4, 5)
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 REGULARISATION = 0.001
+# Blocked from this probability on.
+THRESHOLD = 0.4
 ITERATIONS = 50
 
 # Verdict and host with path, as a user would write them.
@@ -93,15 +95,18 @@ def grams(host: Column, path: Column) -> Column:
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """The table of labelled URLs: url, and label 1.0 for what is blocked."""
-    sites = [(x, 1.0) for x in BLOCKED_SITES] + [(x, 0.0) for x in ALLOWED_SITES]
-    hosts = [(prefix, ending) for prefix in PREFIXES for ending in ENDINGS]
-    pairs = [
-        (f"https://{prefix}{site}.{ending}{PATHS[(i + j) % len(PATHS)]}", label)
-        for i, (site, label) in enumerate(sites)
-        for j, (prefix, ending) in enumerate(hosts)
-    ]
-    rows = F.array(*[F.struct(F.lit(u).alias("url"), F.lit(label).alias("label")) for u, label in pairs])
-    return spark.range(1, numPartitions=1).select(F.inline(rows))
+
+    def each(values: tuple[str, ...] | list[str]) -> Column:
+        return F.explode(F.array(*[F.lit(v) for v in values]))
+
+    one = spark.range(1, numPartitions=1)
+    blocked = one.select(each(BLOCKED_SITES).alias("site"), F.lit(1.0).alias("label"))
+    sites = blocked.unionByName(one.select(each(ALLOWED_SITES).alias("site"), F.lit(0.0).alias("label")))
+    forms = sites.withColumn("prefix", each(PREFIXES)).withColumn("ending", each(ENDINGS))
+    # paths go round, so that each kind of site is met with each of them
+    nth = F.pmod(F.xxhash64("site", "prefix", "ending"), F.lit(len(PATHS))).cast("int")
+    path = F.get(F.array(*[F.lit(p) for p in PATHS]), nth)
+    return forms.select(F.concat(F.lit("https://"), "prefix", "site", F.lit("."), "ending", path).alias("url"), "label")
 
 
 def _with_grams(urls: DataFrame) -> DataFrame:
@@ -115,6 +120,7 @@ def train(labelled: DataFrame) -> PipelineModel:
     regression = LogisticRegression(
         featuresCol="_features", labelCol="label", predictionCol="_blocked", rawPredictionCol="_raw",
         probabilityCol="_probability", regParam=REGULARISATION, maxIter=ITERATIONS, standardization=False,
+        threshold=THRESHOLD,
     )
     return Pipeline(stages=[hashing, regression]).fit(_with_grams(rows).coalesce(1))
 
