@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagtrail.llm import lm, mixing, packing, quality, secrets, simhash, token_files, token_table, topk, urls
+from dagtrail.llm import divergence, lm, mixing, packing, quality, secrets, simhash, token_files, token_table, topk, urls
 from dagtrail.llm.common import table
 from dagtrail.sources.paths import shared_folder
 
@@ -55,6 +55,47 @@ select query_id, cast(row_number() over (partition by r order by score desc, vec
 qualify rank <= 20
 """
 
+# shares are in 128 bits; every kept term is met with every group of its language
+_DIVERGENCE_SQL = """
+with docs as (
+    select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as found
+      from documents),
+tokens as (
+    select r, lang, source, unnest(found) as term from docs),
+kept as (
+    select lang, term, count(*)::hugeint as n from tokens group by all having count(distinct r) >= 3),
+langs as (
+    select lang, coalesce(sum(n), 0)::hugeint as total, count(n)::hugeint as terms
+      from (select distinct lang from docs) left join kept using (lang) group by all),
+counts as (
+    select lang, source, term, count(*)::hugeint as n from tokens semi join kept using (lang, term) group by all),
+sizes as (
+    select lang, source, coalesce(sum(n), 0)::hugeint as total
+      from (select distinct lang, source from docs) left join counts using (lang, source) group by all),
+shares as (
+    select s.lang, s.source, k.term, coalesce(c.n, 0) as n,
+           1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (s.total + l.terms) as p,
+           1 + (1000000000::hugeint * (k.n + 1)) // (l.total + l.terms) as of_lang
+      from sizes s join langs l using (lang) join kept k using (lang)
+      left join counts c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+sums as (
+    select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+      from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+      from sizes a join sizes b on a.lang = b.lang and a.source <> b.source
+      left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+above as (
+    select lang, source, 'term' as part, term as item, (((p - of_lang) * (p - of_lang)) // of_lang)::bigint as value
+      from shares where n > 0 and p > of_lang),
+ranked as (
+    select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank
+      from (select * from pairs union all select * from above))
+select * from ranked where part = 'pair' or rank <= 200
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -109,6 +150,10 @@ def _top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+def _divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": _token_counts,
@@ -121,8 +166,9 @@ def queries() -> dict[str, Query]:
         "op8_token_table": _token_table,
         "op9_secrets": _secrets,
         "op10_top_k": _top_k,
+        "op11_divergence": _divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _MIX_SQL, "op10_top_k": _TOP_K_SQL}
+    return {"op3_mixing": _MIX_SQL, "op10_top_k": _TOP_K_SQL, "op11_divergence": _DIVERGENCE_SQL}
