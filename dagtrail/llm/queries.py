@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagtrail.llm import divergence, lm, mixing, packing, quality, secrets, simhash, token_files, token_table, topk, urls
+from dagtrail.llm import divergence, lm, mixing, negatives, packing, quality, secrets, simhash, token_files, token_table, topk, urls
 from dagtrail.llm.common import table
 from dagtrail.sources.paths import shared_folder
 
@@ -96,6 +96,33 @@ ranked as (
 select * from ranked where part = 'pair' or rank <= 200
 """
 
+# rows are numbered, so that those of one id are told apart
+_NEGATIVES_SQL = """
+with usable as (
+    select row_number() over () as r, vec_id,
+           (case when vec_id % 7 = 0 then (label + 1) % 10 else label end)::bigint as label,
+           list_transform(embedding, lambda x: floor(256 * x::double)) as v
+      from embeddings
+     where vec_id is not null and label is not null and embedding is not null
+       and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+scored as (
+    select a.r, a.vec_id as anchor_id, c.r as other, c.vec_id, a.label = c.label as same,
+           cast(list_inner_product(a.v, c.v) as bigint) as score
+      from usable a join usable c on a.r <> c.r
+     where a.vec_id % 50 = 0),
+positives as (
+    select r, anchor_id, vec_id as positive_id, score as positive_score,
+           row_number() over (partition by r order by score desc, vec_id) as nth
+      from scored where same
+    qualify nth <= 5)
+select p.anchor_id, positive_id,
+       cast(row_number() over (partition by p.r, nth order by score desc, vec_id) as integer) as rank,
+       vec_id as negative_id, positive_score, score as negative_score
+  from positives p join scored s on p.r = s.r
+ where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -154,6 +181,12 @@ def _divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence(table(spark, folder, "documents"))
 
 
+def _negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.integer_rows(table(spark, folder, "embeddings"), label)
+    return negatives.hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": _token_counts,
@@ -167,8 +200,9 @@ def queries() -> dict[str, Query]:
         "op9_secrets": _secrets,
         "op10_top_k": _top_k,
         "op11_divergence": _divergence,
+        "op13_hard_negatives": _negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": _MIX_SQL, "op10_top_k": _TOP_K_SQL, "op11_divergence": _DIVERGENCE_SQL}
+    return {"op3_mixing": _MIX_SQL, "op10_top_k": _TOP_K_SQL, "op11_divergence": _DIVERGENCE_SQL, "op13_hard_negatives": _NEGATIVES_SQL}
