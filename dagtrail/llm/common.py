@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dagtrail.operators.lookup import SLICE_ROWS, SLICE_ROWS_SETTING, SLICES_OF_ALL
+
 # Rows an Arrow function works on before it hands them on.
 BATCH_ROWS = 2000
 
@@ -14,3 +16,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def first_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, whatever others there are."""
     return df.select(*[F.col(n) for n in names])
+
+
+def sliced_join(rows: DataFrame, lookup: DataFrame, keys: list[str], identity: list[str], count: str) -> DataFrame:
+    """Inner join of rows with a relation of one row per key that knows, in `count`, how many rows each key has.
+
+    Rows of a key with more than a task should take are dealt over slices by a hash of their
+    identity, and its lookup row is repeated for each slice.
+    """
+    least = int(rows.sparkSession.conf.get(SLICE_ROWS_SETTING, str(SLICE_ROWS)))
+    total = F.coalesce(lookup.agg(F.sum(count).alias(count)).scalar(), F.lit(0))
+    width = F.greatest(F.lit(least), F.ceil(total / F.lit(SLICES_OF_ALL)))
+    slices = F.ceil(F.col(count) / width).cast("int").alias("_slices")
+    # fewer than SLICES_OF_ALL keys
+    hot = F.broadcast(lookup.where(F.col(count) > width).select(*keys, slices))
+    dealt = F.when(F.col("_slices") > 1, F.pmod(F.xxhash64(*identity), F.col("_slices")).cast("int")).otherwise(0)
+    sliced = rows.join(hot, keys, "left").withColumn("_slice", dealt).drop("_slices")
+    again = F.explode(F.sequence(F.lit(0), F.greatest(slices, F.lit(1)) - 1))
+    return sliced.join(lookup.withColumn("_slice", again), [*keys, "_slice"]).drop("_slice")

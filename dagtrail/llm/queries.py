@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagtrail.llm import divergence, lm, mixing, negatives, packing, quality, secrets, simhash, token_files, token_table, topk, urls
+from dagtrail.llm import divergence, lm, mixing, negatives, packing, quality, repeats, secrets, simhash, token_files, token_table, topk, urls
 from dagtrail.llm.common import table
 from dagtrail.sources.paths import shared_folder
 
@@ -181,6 +181,10 @@ def _divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.divergence(table(spark, folder, "documents"))
 
 
+def _repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"))
+
+
 def _negatives(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = negatives.integer_rows(table(spark, folder, "embeddings"), label)
@@ -200,6 +204,7 @@ def queries() -> dict[str, Query]:
         "op9_secrets": _secrets,
         "op10_top_k": _top_k,
         "op11_divergence": _divergence,
+        "op12_repeats": _repeats,
         "op13_hard_negatives": _negatives,
     }
 
