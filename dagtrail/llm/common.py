@@ -1,5 +1,10 @@
 """Helpers the corpus operators share."""
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -7,6 +12,7 @@ from dagtrail.operators.lookup import SLICE_ROWS, SLICE_ROWS_SETTING, SLICES_OF_
 
 # Rows an Arrow function works on before it hands them on.
 BATCH_ROWS = 2000
+BLOCK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,3 +40,30 @@ def sliced_join(rows: DataFrame, lookup: DataFrame, keys: list[str], identity: l
     sliced = rows.join(hot, keys, "left").withColumn("_slice", dealt).drop("_slices")
     again = F.explode(F.sequence(F.lit(0), F.greatest(slices, F.lit(1)) - 1))
     return sliced.join(lookup.withColumn("_slice", again), [*keys, "_slice"]).drop("_slice")
+
+
+# What each operator's functions remember in this worker process, by the operator's name.
+_remembered: dict[str, list[Callable[[], None]]] = {}
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    """Note how to drop what an operator remembers between tasks."""
+    _remembered.setdefault(owner, []).append(forget)
+
+
+def only(owner: str) -> None:
+    """Called where a task begins: workers serve many stages, and remember for one operator at a time."""
+    for name in [n for n in _remembered if n != owner]:
+        for forget in _remembered.pop(name):
+            forget()
+
+
+def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about so many bytes of a column of strings or bytes, a single long one apart."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            for at in range(low, high, BATCH_ROWS):
+                yield batch.slice(at, min(BATCH_ROWS, high - at))

@@ -11,6 +11,8 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
+from dagtrail.llm.common import only, remembers
+
 # Chunks remembered by one worker, about 200 bytes each; later ones are encoded each time.
 REMEMBERED = 400_000
 ID_BYTES = 4
@@ -97,4 +99,6 @@ class Encoder:
 @lru_cache(4)
 def encoder(path: str, specials_are_text: bool = False) -> Encoder:
     """One encoder for each worker process; what it remembers serves later tasks too."""
+    only("encoding")
+    remembers("encoding", encoder.cache_clear)
     return Encoder(path, specials_are_text)

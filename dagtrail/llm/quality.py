@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from dagtrail.llm.common import BATCH_ROWS
+from dagtrail.llm.common import blocks, only, remembers
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -178,6 +178,7 @@ def _script(text: str) -> str:
 
 @lru_cache(1)
 def _fertility(model_file: str) -> Fertility:
+    remembers("quality", _fertility.cache_clear)
     return Fertility(model_file)
 
 
@@ -195,16 +196,13 @@ def judge(
     types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("quality")
         fertility = _fertility(model_file)
-        for whole in batches:
-            for low in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(low, BATCH_ROWS)
-                texts, langs = batch.columns[-2:]
-                made = [
-                    fertility.measure(t.as_py(), lang, bands) for t, lang in zip(texts, langs.to_pylist(), strict=True)
-                ]
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=schema.names)
+        for batch in blocks(batches, -2):
+            texts, langs = batch.columns[-2:]
+            made = [fertility.measure(t.as_py(), lang, bands) for t, lang in zip(texts, langs.to_pylist(), strict=True)]
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=schema.names)
 
     rows = documents.select(*carry, documents["text"].alias("_text"), documents["lang"].alias("_lang"))
     return rows.mapInArrow(run, schema)

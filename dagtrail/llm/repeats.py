@@ -11,8 +11,8 @@ the suffixes at the anchors are sorted with their common prefixes, and a stack s
 intervals of the tree, each a set of suffixes with a common prefix. What precedes the
 anchors is sorted too, and tells where the members' left extensions part: members that agree far
 enough to the left are the occurrences of one repeat, which no byte more on either side has in
-common. A bucket of very many unlike segments is not gathered; its windows are counted by
-their hashes, with every window of it.
+common. A bucket of very many unlike segments is not gathered: segments are cut into pieces
+that have more in common, which meet in smaller buckets.
 """
 
 import hashlib
@@ -36,8 +36,9 @@ LENGTH = 400
 GRAM = 100
 # Windows of a text that are worked on at once.
 CHUNK = 1 << 19
-# Unlike segments of a bucket that one task sorts.
+# Unlike segments of a bucket that one task sorts; larger ones are divided by so much each time.
 BUCKET = 256
+DIVISION = 8
 # Bytes a task reads or makes before it hands rows on.
 BATCH_BYTES = 4 << 20
 
@@ -300,27 +301,67 @@ def _groups(contents: DataFrame, length: int) -> DataFrame:
     return _buckets(contents.where("not hot"), "anchor long, nth long, " + _FOUND, work)
 
 
-def _windows(contents: DataFrame, length: int) -> DataFrame:
-    """The same for buckets that are not gathered, by the hashes of all their windows."""
+def _pieces(hot: DataFrame, length: int, width: int) -> DataFrame:
+    """Segments cut into the windows whose anchors lie from i * width bytes on, each with a new bucket.
+
+    All windows of a piece have the bytes in common that lie around the anchor, a core nearly as long as a
+    window, so pieces that repeat anything of each other have equal cores, which name the bucket.
+    """
+    names = ["seg_a", "seg_b", "shift", "n", "anchor", "piece_a", "piece_b", "lead", "content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
-            for i in range(batch.num_rows):
-                part = batch.column("content")[i].as_py()
-                n = len(part) - length + 1
-                hashes = b"".join(digest(part[s : s + length]).to_bytes(16, "little") for s in range(n))
-                halves = np.frombuffer(hashes, dtype="<i8").reshape(-1, 2)
-                columns = [pa.array(np.ascontiguousarray(halves[:, c])) for c in range(2)]
-                columns += [pa.array([batch.column(c)[i].as_py()] * n, pa.int64()) for c in _SEGMENT]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(n))], names=["win_a", "win_b", *_SEGMENT, "at"])
+            made: list[tuple] = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("anchor", "seg_a", "seg_b", "n", "lead", "content")), strict=True)
+            for anchor, seg_a, seg_b, n, lead, content in rows:
+                nearest = length - (len(content) - lead)
+                for i in range(nearest // width, lead // width + 1):
+                    low, high = max(nearest, i * width), min(lead, (i + 1) * width - 1)
+                    core = content[lead - i * width : lead + length - (i + 1) * width + 1]
+                    part = content[lead - high : lead + length - low]
+                    name = f"{anchor} {i} {width} ".encode()
+                    key = np.frombuffer(digest(name + core), dtype="<i8")[0]
+                    halves = np.frombuffer(digest(name + part), dtype="<i8")
+                    made.append((seg_a, seg_b, lead - high, n, key, *halves, high, part))
+            types = [pa.int64()] * 7 + [pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], t) for i, t in enumerate(types)], names=names)
 
-    schema = "win_a long, win_b long, seg_a long, seg_b long, at long"
-    windows = store_rows(contents.where("hot").mapInArrow(run, schema), "windows")
-    again = windows.groupBy("win_a", "win_b").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    again = store_rows(again, "again")
-    found = sliced_join(windows, again, ["win_a", "win_b"], _SEGMENT, "times").groupBy(*_SEGMENT)
-    return found.agg(F.min("at").alias("low"), (F.max("at") + length).alias("high"))
+    schema = ", ".join(f"{c} long" for c in names[:7]) + ", lead int, content binary"
+    return store_rows(hot.mapInArrow(run, schema), "pieces")
+
+
+def _found(contents: DataFrame, length: int, width: int) -> DataFrame:
+    """seg_a, seg_b, low and high of segments that repeat in part, for buckets of any size.
+
+    A bucket of too many segments is divided: its segments are cut into pieces with narrower ranges of
+    windows, which meet in more buckets, and most of which are equal as a whole. That goes on until a
+    piece is a single window, and all of a bucket's are equal.
+    """
+    few = _sorted_out(contents.where("not hot"), length)
+    hot = contents.where("hot")
+    if hot.isEmpty():
+        return few
+    width = -(-width // DIVISION)
+    pieces = _pieces(hot, length, width)
+    named = ["piece_a", "piece_b"]
+    unlike = pieces.groupBy("anchor", *named).agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.any_value("lead").alias("lead"), F.any_value("content").alias("content")
+    )
+    unlike = store_rows(unlike.withColumnsRenamed(dict(zip(named, _SEGMENT, strict=True))), "unlike")
+    sizes = unlike.groupBy("anchor").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"))
+    sizes = store_rows(sizes.where("members > 1 and least = 1"), "buckets")
+    again = sliced_join(unlike.select("anchor", *_SEGMENT, "n", "lead", "content"), sizes, ["anchor"], _SEGMENT, "members")
+    again = store_rows(again.withColumn("hot", F.col("members") > BUCKET).drop("members", "least"), "contents")
+    found = _found(again, length, width)
+    # a piece of one segment repeats where it was found to, others as a whole
+    once = unlike.where("n = 1").select(*_SEGMENT, "rows").join(found, _SEGMENT)
+    often = unlike.where("n > 1").select(*_SEGMENT, "rows", F.lit(0).cast("long").alias("low"), F.length("content").cast("long").alias("high"))
+    parts = once.unionByName(often).withColumnsRenamed(dict(zip(_SEGMENT, named, strict=True)))
+    spans = sliced_join(pieces.drop("n", "anchor", "lead", "content"), store_rows(parts, "parts"), named, _SEGMENT, "rows")
+    # all of them hold the anchor, so they leave no gap
+    low, high = F.min(F.col("shift") + F.col("low")).alias("low"), F.max(F.col("shift") + F.col("high")).alias("high")
+    return few.unionByName(spans.groupBy(*_SEGMENT).agg(low, high))
 
 
 class _Repeats(NamedTuple):
@@ -361,7 +402,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> tuple[DataFram
     """The stored documents, and spans of them (row, start, stop) that hold every byte of every
     string of `length` bytes that starts anywhere else too."""
     met = _met(documents, length)
-    found = store_rows(_sorted_out(met.contents, length).unionByName(_windows(met.contents, length)), "found")
+    found = store_rows(_found(met.contents, length, length), "found")
     stop = (F.col("start") + F.col("size")).alias("stop")
     # a segment that occurs once is met where it is; others repeat as a whole
     once = met.unlike.where("n = 1").join(found, _SEGMENT)

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from dagtrail.llm.common import blocks, only
 from dagtrail.llm.trigrams import Index, candidates, trigram_query, trigrams_of
 
 # Bytes of text that are indexed together; a single text may be longer.
-BLOCK_BYTES = 2 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -84,17 +84,6 @@ class Scanner:
         return [(self.rules[o].kind, place[a], place[b]) for a, o, b in spans]
 
 
-def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    first = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= BLOCK_BYTES:
-            yield first, i + 1
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def _map_scanned(
     documents: DataFrame, carry: list[str], fields: list[T.StructField], rules: tuple[Rule, ...], row: Callable
 ) -> DataFrame:
@@ -103,15 +92,13 @@ def _map_scanned(
     types = [pa.int64() if f.dataType == T.LongType() else pa.string() for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("secrets")
         scanner = Scanner(rules)
-        for batch in batches:
-            texts = [t.encode() if t else b"" for t in batch.columns[-1].to_pylist()]
-            for low, high in _blocks(texts):
-                block = texts[low:high]
-                made = [row(t, s) for t, s in zip(block, scanner.scan(block), strict=True)]
-                columns = [pa.array(list(c), t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
-                carried = [c.slice(low, high - low) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*carried, *columns], names=schema.names)
+        for block in blocks(batches, -1):
+            texts = [(t.as_py() or "").encode() for t in block.column(-1)]
+            made = [row(t, s) for t, s in zip(texts, scanner.scan(texts), strict=True)]
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*made, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*block.columns[:-1], *columns], names=schema.names)
 
     return documents.select(*carry, documents["text"].alias("_text")).mapInArrow(run, schema)
 

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dagtrail.llm import mixing, quality, queries, secrets, simhash, topk, urls
+from dagtrail.llm import mixing, quality, queries, secrets, topk, urls
 from tests.llm.samples import documents, plain, prose, rows
-from tests.llm.test_texts import simple_components, simple_fingerprint
+from tests.llm.test_jaccard import simple_groups
 from tests.llm.test_tokens import check_packed
 
 FOLDER = "/root/testdata/sf0.01"
@@ -196,12 +196,8 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 
     fertility = quality.Fertility(corpus_pipeline.PIECE_BPE)
     kept = [r for r in found if fertility.measure(r[1], r[2], quality.LANGUAGE_BANDS)[6]]
-    prints = {r[1]: simple_fingerprint(r[1], 4) for r in kept if len(r[1]) < 50_000}
-    prints |= {r[1]: simhash.fingerprint(r[1], 4) % (1 << 64) for r in kept if len(r[1]) >= 50_000}
-    roots, groups = simple_components(set(prints.values())), {}
-    for r in kept:
-        groups.setdefault(roots[prints[r[1]]], []).append(r)
-    ids = {min(r[0] for r in g if r[0] is not None) if any(r[0] is not None for r in g) else None for g in groups.values()}
+    groups = simple_groups(kept)
+    ids = {min((i for i in g if i is not None), default=None) for g in groups}
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     after = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
