@@ -1,5 +1,6 @@
 """Helpers the corpus operators share."""
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagtrail.operators.lookup import SLICE_ROWS, SLICE_ROWS_SETTING, SLICES_OF_ALL
+from dagtrail.sources.paths import shared_folder
 
 # Rows an Arrow function works on before it hands them on.
 BATCH_ROWS = 2000
 BLOCK_BYTES = 2 << 20
+# Spark's own limit.
+MAX_BUCKETS = 100_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -42,6 +46,22 @@ def sliced_join(rows: DataFrame, lookup: DataFrame, keys: list[str], identity: l
     return sliced.join(lookup.withColumn("_slice", again), [*keys, "_slice"]).drop("_slice")
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Write rows to a new table in the shared folder, dealt over buckets by the key, and go on from that table.
+
+    Later joins and groups on the key leave these rows where they are, however often, and only move the other side.
+    The catalog names the table only while it is made; its files stay.
+    """
+    spark = df.sparkSession
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), MAX_BUCKETS)
+    name = f"dagtrail_{label}_{uuid.uuid4().hex}"
+    path = shared_folder(spark, label)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"drop table {name}")
+    return found
+
+
 # What each operator's functions remember in this worker process, by the operator's name.
 _remembered: dict[str, list[Callable[[], None]]] = {}
 
