@@ -350,6 +350,7 @@ def oracle_sql() -> dict[str, str]:
               from hist where eventType in {_FEATURE_TYPES}""",
         "stream_task_features": _FEATURES,
         "stream_ats_features": _FEATURES,
+        "stream_followed_features": _FEATURES,
         "task_features_hot": f"""
             {_HISTORY}
             select eventTime, {_HOT_VERTEX} as "vertexID", ms + case when k % 3 <> 0 then 0 else 7 end as "taskDurationMillis"

@@ -23,6 +23,7 @@ from dagtrail.sources.history import EVENTS_BELOW, MANIFEST_BELOW, read_base, wr
 from dagtrail.sources.paths import shared_folder
 from dagtrail.sources.report import create_report_tables, read_task_report, write_task_report
 from dagtrail.streaming.features import stream_ats, stream_history, stream_task_features
+from dagtrail.streaming.stateful import follow, followed_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -160,6 +161,17 @@ def _stream_task_features(spark: SparkSession, folder: str) -> DataFrame:
     return stream_task_features(stream_history(spark, arriving), landing, checkpoint)
 
 
+def _stream_followed_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Events arrive in two parts, finishes of even positions first; the state keeps what the report needs."""
+    arriving, report = shared_folder(spark, "arriving"), shared_folder(spark, "followed")
+    events = tables.history_from_events(spark, folder)
+    early = (F.col("eventType") == S.TASK_ATTEMPT_FINISHED) & (F.col("srcPos") % 2 == 0)
+    for part, which in (("early", early), ("late", ~early)):
+        write_history(events.where(which), f"{arriving}/{part}")
+        follow(stream_history(spark, arriving), report)
+    return followed_report(spark, report)
+
+
 def _stream_ats_features(spark: SparkSession, folder: str) -> DataFrame:
     logs = shared_folder(spark, "entitylogs")
     tables.entity_lines_from(tables.history_from_events(spark, folder)).write.text(logs)
@@ -261,6 +273,7 @@ def queries() -> dict[str, Query]:
         "events_with_caller_hot": _hot(lambda e: _ids(C.with_caller(e)), "dagId", "dag_1"),
         "stream_task_features": _stream_task_features,
         "stream_ats_features": _stream_ats_features,
+        "stream_followed_features": _stream_followed_features,
     }
 
 
