@@ -21,16 +21,21 @@ from dagtrail.llm.encoding import ID_BYTES, encoder
 STORED = "part int, doc_id long, before long, token_ids array<int>"
 # Rows of a row group: fewer than ORC's default, as a row is a whole document.
 ROW_INDEX_STRIDE = 1000
+# Of texts that share an id, so many characters decide their order: bounds of ranges are kept on the driver.
+TIE_CHARACTERS = 64
 
 
 def encode_documents(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Token ids of each document, one id `end_id` after it, in ascending `doc_id` order.
 
     A null or empty text has the end alone; equal documents and equal ids stay; null ids
-    come first; ties are in order of the text.
+    come first; ties are in order of the first characters of the text, then of its hash. Very long
+    texts are encoded whole; an empty table gives none. An id, and a text of it, that owns many rows
+    is dealt over as many tasks as its share is worth.
     """
-    rows = first_columns(documents, "doc_id", "text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = first_columns(documents, "doc_id", "text").withColumn("spread", F.monotonically_increasing_id())
+    order = [F.col("doc_id"), F.substring("text", 1, TIE_CHARACTERS), F.xxhash64("text"), F.col("spread")]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("spread")
     end = end_id.to_bytes(ID_BYTES, "little")
 
     def run(batches):

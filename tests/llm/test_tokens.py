@@ -77,6 +77,17 @@ def test_token_table_has_filters_on_ids(spark, tmp_path):
     assert sum(orc.ORCFile(f).nrows for f in files) == len(rows())
 
 
+@pytest.mark.parametrize("hot", [7, None])
+def test_an_id_with_a_third_of_all_rows_is_dealt_over_tasks(spark, hot):
+    found = [(hot if i % 3 == 0 else i, "one text" if i % 2 else f"text {i % 5}", "en", "a", 1) for i in range(6000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = token_table.encode_documents(documents(spark, found), WORD_BPE, 1).groupBy("part").count().toPandas()["count"]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) > 2 and spread.max() <= 2 * spread.median() and spread.sum() == len(found)
+
+
 def test_empty_tables(spark, tmp_path):
     none = documents(spark, [])
     token_table.write_token_table(none, str(tmp_path / "table"), WORD_BPE, end_id=1)
