@@ -23,6 +23,8 @@ from dagtrail.sources.paths import store_rows
 END = ""
 # Words known to every task: at most this many, the most frequent.
 HEAD_WORDS = 200_000
+# Parts into which words are dealt by their hashes where too many are tied.
+TIED = 1 << 30
 # Words a task counts before it hands them on.
 COUNTED_WORDS = 300_000
 # Tokens worked on at once.
@@ -76,7 +78,13 @@ class Head:
         as_many = words.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
         upwards = as_many.withColumn("upto", F.sum("words").over(Window.orderBy(F.desc("n"))))
         least = upwards.where(F.col("upto") <= head_words).agg(F.min("n")).first()[0]
-        found = words.where(F.col("n") >= (least if least is not None else F.lit(None)))
+        top = upwards.orderBy(F.desc("n")).first()
+        if least is not None:
+            found = words.where(F.col("n") >= least)
+        else:
+            # too many words share the highest count: about half as many as may be known, by their hashes
+            share = int((head_words / 2 / top.words if top else 0) * TIED)
+            found = words.where((F.col("n") == F.lit(top.n if top else None)) & (F.pmod(F.xxhash64("word"), F.lit(TIED)) < share))
         known = sorted(((r.word, r.n) for r in found.toLocalIterator()), key=lambda x: (-x[1], x[0]))
         self.words = "\n".join(w for w, _ in known).encode()
         self.counts = np.array([n for _, n in known], dtype=np.int64)
@@ -231,8 +239,9 @@ def score_documents(documents: DataFrame, held_out: Column, rounds: int = ROUNDS
     """Base and model score of every text, learnt from the rows where `held_out` is false.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, both log10. A null
-    or empty text is its end alone. Rows are scored one by one, so repeated rows stay. Without
-    training texts every base probability is 1 and the model knows two classes.
+    or empty text is its end alone. Rows are scored one by one, so repeated rows stay; very long texts count
+    whole; an empty table gives none. Without training texts every base probability is 1 and the model
+    knows two classes.
     """
     training = documents.where(~held_out)
     counts = store_rows(word_counts(training), "counts")

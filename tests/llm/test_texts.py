@@ -302,6 +302,14 @@ def test_base_scores(spark, monkeypatch, head, classes):
     assert all(math.isfinite(r.score) and r.score < 0 for r in answer)
 
 
+def test_words_are_known_even_if_too_many_are_tied(spark):
+    counts = spark.createDataFrame([(f"word{i}", 1) for i in range(3000)] + [("", 40)], "word string, n long")
+    head = lm.Head(counts, 2048, 1000)
+    assert 400 < len(head.counts) <= 1000 and head.modelled == len(head.counts) and set(head.counts.tolist()) == {1}
+    assert head.tokens == 3040 and head.rest_distinct == 3000 - head.modelled
+    assert head.words == lm.Head(counts.repartition(7), 2048, 1000).words
+
+
 def test_without_training_texts(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     (row,) = scored(spark, [(held, "a b", "en", "a", 3)])
