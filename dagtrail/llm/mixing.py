@@ -6,7 +6,7 @@ inverting it at a number that a hash of seed and document gives. So every docume
 for itself, again the same way in each run, and no counts per source have to be met.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dagtrail.sources.paths import store_rows
@@ -82,6 +82,31 @@ def copies(key: Column, seed: int, draws: Column, upto: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), draws), F.lit(0), lambda total, number: total + drawn(number))
 
 
+def content_key(columns: list[str]) -> Column:
+    """A hash of all columns; rows share it only if they are alike."""
+    own = [F.coalesce(F.md5(F.col(c).cast("string")), F.lit("-")) for c in columns]
+    return F.md5(F.concat_ws("", *own))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with _key, the hash of their columns, and _nth, their number among those that are alike.
+
+    Where no two rows are alike, which keys alone tell, rows stay where they are. Else they are
+    stored and counted by key and task, so that copies of one row are dealt over tasks.
+    """
+    keyed = rows.withColumn("_key", content_key(rows.columns))
+    if keyed.groupBy("_key").count().where("count > 1").isEmpty():
+        return keyed.withColumn("_nth", F.lit(1).cast("long"))
+    stored = store_rows(keyed.withColumn("_task", F.spark_partition_id()), "keyed")
+    # a row for each key and task
+    sizes = stored.groupBy("_key", "_task").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy("_key").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_key", "_task", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_key", "_task").orderBy("_key"))
+    found = stored.withColumn("_own", own).join(before, ["_key", "_task"])
+    return found.select(*rows.columns, "_key", (F.col("_own") + F.col("_before")).alias("_nth"))
+
+
 def mix(
     documents: DataFrame,
     weights: DataFrame | None = None,
@@ -92,21 +117,22 @@ def mix(
 
     All columns of documents, then copy (from 1) and place (what the order is by). `weights` has
     source and weight, any positive numbers; without it they are the sizes to the power of `alpha`.
-    Documents are drawn by doc_id, those with a null id by the hash of their text; rows that are
-    alike draw alike. A null text counts as empty. An empty table gives none.
+    Rows draw by the hash of all their columns and, where some are alike, by their number among
+    these: an id or a text that many rows share is no hot key, and meets its weight. A null text
+    counts as empty. Very long texts move whole. An empty table gives none.
     """
-    rows = documents.drop("copy", "place", "_draws", "_upto", "_slice")
+    rows = documents.drop("copy", "place")
     sizes = store_rows(source_sizes(rows), "sizes")
     rates = repetition_rates(sizes, temperature_weights(sizes, alpha) if weights is None else weights)
     tables = store_rows(_tables(rates), "rates")
     same = F.col("source").eqNullSafe(F.col("_source"))
     if tables.count() <= MAX_SENT_SOURCES:
-        known = rows.join(F.broadcast(tables), same)
+        known = numbered(rows).join(F.broadcast(tables), same)
     else:
         sliced = tables.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-        own = rows.withColumn("_slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)).cast("int"))
+        own = numbered(rows).withColumn("_slice", F.pmod(F.xxhash64("_key", "_nth"), F.lit(SLICES)).cast("int"))
         known = own.join(sliced, same & (F.col("_slice") == F.col("_part")))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit(""))))
+    key = F.concat_ws(":", "_key", F.col("_nth").cast("string"))
     number = copies(key, seed, F.col("draws"), F.col("upto"))
     repeated = known.withColumn("copy", F.explode(F.sequence(F.lit(0), number))).where("copy > 0")
     placed = repeated.withColumn("place", _hashed(15, F.lit(seed), key, F.col("copy")))

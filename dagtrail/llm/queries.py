@@ -26,8 +26,12 @@ upto as (
     select source, list(c order by k) as upto
       from (select source, k, sum(p) over (partition by source order by k) as c from terms)
      group by source),
+hashed as (
+    select d.*, md5(coalesce(md5(doc_id::varchar), '-') || coalesce(md5(text), '-') || coalesce(md5(lang), '-')
+                    || coalesce(md5(source), '-') || coalesce(md5(n_chars::varchar), '-')) as hash
+      from documents d),
 keyed as (
-    select d.*, coalesce(cast(doc_id as varchar), md5(coalesce(text, ''))) as key from documents d),
+    select * exclude (hash), hash || ':' || row_number() over (partition by hash) as key from hashed),
 drawn as (
     select k.*, len(list_filter(upto, lambda c: c < (cast('0x' || substr(md5('42:' || key || ':1'), 1, 13) as bigint) + 0.5)
                                                      / 4503599627370496.0)) as n

@@ -28,10 +28,10 @@ def test_mixing_keeps_columns_and_copies(spark):
     assert mixed.columns[-2:] == ["copy", "place"] and mixed.columns.count("copy") == 1
     again = mixing.mix(documents(spark, clash=True))
     assert plain(mixed.select("doc_id", "text", "copy", "place")) == plain(again.select("doc_id", "text", "copy", "place"))
-    # rows that are alike draw alike, and copies count from 1
-    copies = Counter((r.doc_id, r.text) for r in mixed.collect())
-    originals = Counter((r[0], r[1]) for r in rows())
-    assert all(n % originals[k] == 0 for k, n in copies.items())
+    # copies count from 1, for each row by itself
+    copies = Counter((r.doc_id, r.text, r.copy) for r in mixed.collect())
+    assert all(n <= copies[i, t, c - 1] for (i, t, c), n in copies.items() if c > 1)
+    assert {(i, t) for i, t, _ in copies} <= {r[:2] for r in rows()}
     assert mixing.mix(documents(spark, [])).count() == 0
 
 
@@ -45,6 +45,29 @@ def test_shares_meet_the_weights(spark, monkeypatch, sent):
     assert abs(shares["a"] - 3 / 8) < 0.05 and abs(shares["b"] - 1 / 8) < 0.03 and abs(shares[None] - 0.5) < 0.05
 
 
+@pytest.mark.parametrize("hot", ["id", "null id", "row"])
+def test_a_hot_id_is_split_and_meets_its_weight(spark, hot):
+    """A third of all rows share an id, or are alike altogether."""
+    one = {"id": 7, "null id": None, "row": 7}[hot]
+    found = [(10_000 + i, f"text {i % 10}", "en", "a", 6) for i in range(6000)]
+    found += [(one, "same" if hot == "row" else f"text {i}", "en", "b", 6) for i in range(3000)]
+    weights = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "source string, weight double")
+    docs = documents(spark, found)
+    mixed = mixing.mix(docs, weights).withColumn("task", F.spark_partition_id())
+    rows = mixed.collect()
+    size = {s: sum(len(r[1]) for r in found if r[3] == s) for s in "ab"}
+    made = {s: sum(len(r.text) for r in rows if r.source == s) for s in "ab"}
+    assert abs(made["b"] / (made["a"] + made["b"]) - 2 / 3) < 0.05 * 2 / 3
+    assert abs(sum(made.values()) / sum(size.values()) - 1) < 0.05
+    tasks = sorted(Counter(r.place % 8 for r in rows).values())
+    assert tasks[-1] < 2 * tasks[len(tasks) // 2]
+    parts = sorted(Counter(r.task for r in rows).values())
+    assert parts[-1] < 2 * parts[len(parts) // 2]
+    # the same rows, however they are dealt
+    other = mixing.mix(docs.repartition(11), weights)
+    assert Counter(map(tuple, other.collect())) == Counter(tuple(r)[:-1] for r in rows)
+
+
 def test_sources_without_weight_or_text(spark):
     found = [(1, "text", "en", "a", 4), (2, None, "en", "b", 0), (3, "", "en", "b", 0), (4, "more", "en", "c", 4)]
     weights = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
