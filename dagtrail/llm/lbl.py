@@ -1,6 +1,6 @@
 """A log-bilinear language model, trained by noise-contrastive estimation.
 
-Classes are the most frequent words, one for all other words, and the end of a text. The vector
+Classes are the most frequent words, the forms of all other words, and the end of a text. The vector
 predicted from the two classes before is the sum of their context vectors, each scaled along its
 axes by its position; the score of a class is the product with its own vector, plus a bias.
 Scores of two positions only add, so the norms of all pairs of classes come from one product

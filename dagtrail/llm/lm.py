@@ -2,10 +2,16 @@
 
 Words are counted over all training texts. The frequent ones, a bounded number, are known to
 every task; the counts of all others are met by a join, which has no hot key as they are rare.
-Every task trains the model on its own texts from the same start, and the tasks' parameters
-are averaged by the number of tokens, which is repeated in rounds.
+The most frequent words are classes of the model by themselves. All others, also those never seen,
+belong to a class of words of the same form, and a word's probability is that of its class times
+its share of the class.
+
+Texts are dealt by their hashes over shards of a fixed number of tokens, whatever the partitions
+they come in. The model is trained on each shard from the same start, in the order of the hashes,
+and the shards' parameters are averaged by the number of tokens.
 """
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from dagtrail.llm.common import first_columns
+from dagtrail.llm.common import blocks, first_columns
 from dagtrail.llm.lbl import CLASSES, SIZE, Parameters, Scorer, Trainer
 from dagtrail.sources.paths import store_rows
 
@@ -30,6 +36,14 @@ COUNTED_WORDS = 300_000
 # Tokens worked on at once.
 CHUNK_TOKENS = 1 << 16
 ROUNDS = 1
+# Tokens of a shard: enough for the model to learn from by itself.
+SHARD_TOKENS = 4_000_000
+# Classes of words by form, at most half of all classes.
+FORMS = 512
+# Bytes at the end of a word that its form is told by.
+FORM_BYTES = 3
+# Texts whose repetitions a task remembers.
+SEEN_TEXTS = 500_000
 WIDTH = 2 * SIZE + 1
 
 
@@ -38,6 +52,18 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def form_of(word: bytes, forms: int) -> int:
+    """The class of words with the same ending."""
+    return zlib.crc32(word[-FORM_BYTES:]) % forms
+
+
+def word_forms(word: Column, forms: int) -> Column:
+    """The same as an expression."""
+    data = word.cast("binary")
+    ending = F.when(F.octet_length(data) < FORM_BYTES, data).otherwise(F.substring(data, -FORM_BYTES, FORM_BYTES))
+    return (F.crc32(ending) % forms).cast("int")
+
+
 def word_counts(documents: DataFrame) -> DataFrame:
     """word and n, with the ends of texts as an empty word; counted in tasks before the shuffle."""
 
@@ -89,15 +115,23 @@ class Head:
         self.words = "\n".join(w for w, _ in known).encode()
         self.counts = np.array([n for _, n in known], dtype=np.int64)
         self.ends = (counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first())[0]
-        self.modelled = min(len(known), classes - 2)
-        self.unknown, self.end = self.modelled, self.modelled + 1
-        modelled = int(self.counts[: self.modelled].sum())
-        self.rest_tokens = self.tokens - self.ends - modelled
-        self.rest_distinct = self.distinct - (self.ends > 0) - self.modelled
+        self.forms = max(1, min(FORMS, classes // 2))
+        self.modelled = max(0, min(len(known), classes - 1 - self.forms))
+        self.end = self.modelled + self.forms
+        own = np.array([form_of(w.encode(), self.forms) for w, _ in known], dtype=np.int64)
+        self.classes = np.where(np.arange(len(known)) < self.modelled, np.arange(len(known)), self.modelled + own)
+        # words and tokens of each form, but for the words that are classes
+        self.form_tokens, self.form_distinct = np.zeros((2, self.forms), dtype=np.int64)
+        by_form = words.groupBy(word_forms(F.col("word"), self.forms).alias("form"))
+        for r in by_form.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+            self.form_tokens[r.form], self.form_distinct[r.form] = r.n, r.v
+        np.subtract.at(self.form_tokens, own[: self.modelled], self.counts[: self.modelled])
+        np.subtract.at(self.form_distinct, own[: self.modelled], 1)
 
     def shares(self) -> np.ndarray:
-        """Shares of the classes; the rest and the end have one more than their counts."""
-        n = np.concatenate([self.counts[: self.modelled], [self.rest_tokens + 1, self.ends + 1]]).astype(np.float64)
+        """Shares of the classes; forms and the end have one more than their counts."""
+        own = self.counts[: self.modelled]
+        n = np.concatenate([own, self.form_tokens + 1, [self.ends + 1]]).astype(np.float64)
         return n / n.sum()
 
 
@@ -107,57 +141,102 @@ def _numbers(words: bytes, empty: bool) -> dict[bytes, int]:
 
 
 class _Reader:
-    """Chunks of texts as numbers of frequent words, and as classes with the two before."""
+    """Words as numbers of frequent words or forms, and as classes with the two before."""
 
     def __init__(self, head: Head):
         self.head = head
         self._get = _numbers(head.words, not len(head.counts)).get
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of frequent words; others have -1 less their form."""
         get = self._get
-        return np.array([get(w, -1) for w in words], dtype=np.int64)
+        found = np.array([get(w, -1) for w in words], dtype=np.int64)
+        for i in np.flatnonzero(found < 0).tolist():
+            found[i] = -1 - form_of(words[i], self.head.forms)
+        return found
 
-    def classes(self, numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Classes of the texts' tokens, ends included, and the classes one and two before."""
+    def classes(self, numbers: np.ndarray) -> np.ndarray:
+        """Classes of a text's words and of its end."""
         head = self.head
-        ends = np.cumsum([len(n) + 1 for n in numbers])
-        padded = np.concatenate([x for n in numbers for x in (n, [-2])])
-        word = np.where((padded >= 0) & (padded < head.modelled), padded, head.unknown)
-        word[padded == -2] = head.end
-        starts = np.concatenate([[0], ends[:-1]])
-        last = np.concatenate([[head.end], word[:-1]])
-        before = np.concatenate([[head.end], last[:-1]])
-        before[starts] = head.end
+        found = np.full(len(numbers) + 1, head.end, dtype=np.int64)
+        frequent = numbers >= 0
+        found[:-1][frequent] = head.classes[numbers[frequent]]
+        found[:-1][~frequent] = head.modelled - 1 - numbers[~frequent]
+        return found
+
+    def contexts(self, classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes of the texts' tokens, and the classes one and two before."""
+        word = np.concatenate(classes)
+        starts = np.cumsum([0] + [len(c) for c in classes[:-1]])
+        last = np.concatenate([[self.head.end], word[:-1]])
+        before = np.concatenate([[self.head.end], last[:-1]])
+        before[starts] = self.head.end
         return word, last, before
 
 
+def _shards(training: DataFrame, head: Head) -> DataFrame:
+    """shard, key and classes (16 bits each) of every text; each shard in one partition, by key.
+
+    Rows of one id and text are told apart by how many a task has met, so that many of them are
+    dealt over all shards; they are alike, so it does not matter which goes where.
+    """
+    n = max(1, round(head.tokens / SHARD_TOKENS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(head)
+        seen: dict[int, int] = {}
+        for batch in batches:
+            for part in blocks(iter([batch]), 1):
+                nth, classes = [], []
+                for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    nth.append(seen.get(key, 0))
+                    seen[key] = nth[-1] + 1
+                    classes.append(reader.classes(reader.numbers(words_of(text.as_py()))).astype("<u2").tobytes())
+                if len(seen) > SEEN_TEXTS:
+                    seen.clear()
+                columns = [part.column(0), pa.array(nth, pa.int64()), pa.array(classes, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "nth", "classes"])
+
+    texts = training.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    read = texts.mapInArrow(run, "key long, nth long, classes binary")
+    keyed = read.select(F.xxhash64("key", "nth").alias("key"), "classes")
+    dealt = keyed.select(F.pmod("key", F.lit(n)).cast("int").alias("shard"), "key", "classes")
+    return dealt.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "key", "classes")
+
+
 def _train_round(training: DataFrame, head: Head, rows: np.ndarray) -> np.ndarray:
-    """One pass of all tasks over their texts; the average of their parameters."""
+    """One pass over the texts of all shards; the average of the shards' parameters."""
     shares = head.shares()
     names = [f"p{i}" for i in range(WIDTH)]
     schema = "row int, tokens long, " + ", ".join(f"{n} float" for n in names)
 
+    def learnt(trainer: Trainer) -> pa.RecordBatch:
+        made = trainer.p.rows().astype(np.float32)
+        index = pa.array(np.arange(len(made), dtype=np.int32))
+        tokens = pa.array(np.full(len(made), trainer.tokens, dtype=np.int64))
+        columns = [pa.array(c) for c in np.ascontiguousarray(made.T)]
+        return pa.RecordBatch.from_arrays([index, tokens, *columns], names=["row", "tokens", *names])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(head)
-        trainer = Trainer(Parameters.from_rows(rows), shares, TaskContext.get().partitionId())
-        held, size = [], 0
+        trainer, at, held, size = None, None, [], 0
         for batch in batches:
-            for text in batch.column(0):
-                held.append(reader.numbers(words_of(text.as_py())))
-                size += len(held[-1]) + 1
-                if size >= CHUNK_TOKENS:
-                    trainer.learn(*reader.classes(held))
+            for shard, classes in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if shard != at or size >= CHUNK_TOKENS:
+                    if held:
+                        trainer.learn(*reader.contexts(held))
                     held, size = [], 0
-        if held:
-            trainer.learn(*reader.classes(held))
-        if trainer.tokens:
-            made = trainer.p.rows().astype(np.float32)
-            index = pa.array(np.arange(len(made), dtype=np.int32))
-            tokens = pa.array(np.full(len(made), trainer.tokens, dtype=np.int64))
-            columns = [pa.array(c) for c in np.ascontiguousarray(made.T)]
-            yield pa.RecordBatch.from_arrays([index, tokens, *columns], names=["row", "tokens", *names])
-
-    trained = first_columns(training, "text").mapInArrow(run, schema)
+                if shard != at:
+                    if trainer:
+                        yield learnt(trainer)
+                    trainer, at = Trainer(Parameters.from_rows(rows), shares, shard), shard
+                held.append(np.frombuffer(classes.as_py(), dtype="<u2").astype(np.int64))
+                size += len(held[-1])
+        if trainer:
+            trainer.learn(*reader.contexts(held))
+            yield learnt(trainer)
+
+    trained = _shards(training, head).mapInArrow(run, schema)
     weight = F.col("tokens").cast("double")
     averages = [(F.sum(F.col(n) * weight) / F.sum(weight)).alias(n) for n in names]
     # a row for each class
@@ -180,7 +259,7 @@ def _scorer(data: bytes, width: int) -> Scorer:
 
 _SCORED = (
     "doc_id long, held_out boolean, row long, n_tokens long, n_known long, log_counts double, log_model double, "
-    "n_rest long, rest array<struct<word:string,times:long>>"
+    "rest array<struct<word:string,times:long>>"
 )
 
 
@@ -189,8 +268,11 @@ def _score_known(documents: DataFrame, held_out: Column, head: Head, rows: np.nd
     data = rows.astype(np.float32).tobytes()
     log_count = np.log10(head.counts + 1.0)
     log_end = float(np.log10(head.ends + 1.0))
+    # what a class's share is divided by for a word of a form; nothing for words that are classes
+    own_norm = np.zeros(head.end + 1)
+    own_norm[head.modelled : head.end] = np.log10(head.form_tokens + head.form_distinct + 1.0)
     tail = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
-    types = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.int64(), tail]
+    types = [pa.int64()] * 3 + [pa.float64()] * 2 + [tail]
     names = [c.split()[0] for c in _SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,13 +280,12 @@ def _score_known(documents: DataFrame, held_out: Column, head: Head, rows: np.nd
         row = TaskContext.get().partitionId() << 33
 
         def scored(texts: list[list[bytes]], numbers: list[np.ndarray]) -> list[tuple]:
-            word, last, before = reader.classes(numbers)
-            log_model = scorer.log_probabilities(word, last, before) / np.log(10)
+            word, last, before = reader.contexts([reader.classes(n) for n in numbers])
+            log_model = scorer.log_probabilities(word, last, before) / np.log(10) - own_norm[word]
             starts = np.concatenate([[0], np.cumsum([len(n) + 1 for n in numbers])[:-1]])
             models = np.add.reduceat(log_model, starts).tolist()
-            unknown = np.add.reduceat((word == head.unknown).astype(np.int64), starts).tolist()
             made = []
-            for words, number, model, rest in zip(texts, numbers, models, unknown, strict=True):
+            for words, number, model in zip(texts, numbers, models, strict=True):
                 known = number[number >= 0]
                 times: dict[bytes, int] = {}
                 for i in np.flatnonzero(number < 0).tolist():
@@ -214,7 +295,7 @@ def _score_known(documents: DataFrame, held_out: Column, head: Head, rows: np.nd
                 model += float(log_count[known[known >= head.modelled]].sum())
                 n_known = len(known) + (head.ends > 0)
                 others = [{"word": w.decode(), "times": n} for w, n in times.items()]
-                made.append((len(words) + 1, n_known, logs, model, rest, others))
+                made.append((len(words) + 1, n_known, logs, model, others))
             return made
 
         for batch in batches:
@@ -241,7 +322,7 @@ def score_documents(documents: DataFrame, held_out: Column, rounds: int = ROUNDS
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, both log10. A null
     or empty text is its end alone. Rows are scored one by one, so repeated rows stay; very long texts count
     whole; an empty table gives none. Without training texts every base probability is 1 and the model
-    knows two classes.
+    knows the forms and the end alone.
     """
     training = documents.where(~held_out)
     counts = store_rows(word_counts(training), "counts")
@@ -255,7 +336,6 @@ def score_documents(documents: DataFrame, held_out: Column, rounds: int = ROUNDS
     whole = scored.drop("rest").join(found, "row", "left")
     rest_logs = F.coalesce("rest_logs", F.lit(0.0))
     norm = float(np.log10(head.tokens + head.distinct + 1))
-    rest_norm = float(np.log10(head.rest_tokens + head.rest_distinct + 1))
     return whole.select(
         "doc_id",
         "held_out",
@@ -263,5 +343,5 @@ def score_documents(documents: DataFrame, held_out: Column, rounds: int = ROUNDS
         (F.col("n_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(head.tokens).cast("long").alias("train_tokens"),
         (F.col("log_counts") + rest_logs - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("log_model") + rest_logs - F.col("n_rest") * rest_norm).alias("score"),
+        (F.col("log_model") + rest_logs).alias("score"),
     )

@@ -306,7 +306,7 @@ def test_words_are_known_even_if_too_many_are_tied(spark):
     counts = spark.createDataFrame([(f"word{i}", 1) for i in range(3000)] + [("", 40)], "word string, n long")
     head = lm.Head(counts, 2048, 1000)
     assert 400 < len(head.counts) <= 1000 and head.modelled == len(head.counts) and set(head.counts.tolist()) == {1}
-    assert head.tokens == 3040 and head.rest_distinct == 3000 - head.modelled
+    assert head.tokens == 3040 and head.form_distinct.sum() == 3000 - head.modelled
     assert head.words == lm.Head(counts.repartition(7), 2048, 1000).words
 
 
@@ -332,6 +332,40 @@ def test_the_model_beats_the_base_on_held_out_texts(spark):
     assert len(answer) > 30
 
 
+def test_forms_of_words(spark):
+    found = ["", "a", "ab", "abc", "abcd", "é", "aé", "éé", "中文", "🙂", "x" * 999]
+    df = spark.createDataFrame([(w,) for w in found], "word string")
+    for forms in (1, 7, 512):
+        made = df.select("word", lm.word_forms(F.col("word"), forms).alias("form")).collect()
+        assert {r.word: r.form for r in made} == {w: lm.form_of(w.encode(), forms) for w in found}
+
+
+@pytest.mark.parametrize("shard_tokens", [4_000_000, 60_000])
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch, shard_tokens):
+    """Scores per token differ by no more than 1e-6 between 1 and 200 partitions, and beat the base alike."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", shard_tokens)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    made = []
+    for n in (1, 200):
+        rows = lm.score_documents(docs.repartition(n, "text"), held_out).collect()
+        made.append({r.doc_id: (r.held_out, r.n_tokens, r.base_score, r.score) for r in rows})
+    one, many = made
+    assert max(abs(one[i][3] - many[i][3]) / one[i][1] for i in one) < 1e-6
+    held = [r for r in many.values() if r[0]]
+    gain = sum(r[3] - r[2] for r in held) / sum(r[1] for r in held)
+    print("gain", shard_tokens, gain)
+    assert gain > (0.126 if shard_tokens == 4_000_000 else 0.05)
+
+
+def test_texts_that_are_alike_are_dealt_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 1000)
+    docs = documents(spark, [(1, "a b c d", "en", "a", 7)] * 1000 + [(i, f"x{i} b c d", "en", "a", 7) for i in range(1000)])
+    head = lm.Head(lm.word_counts(docs))
+    sizes = Counter(r.shard for r in lm._shards(docs, head).collect())
+    assert len(sizes) == 10 and sum(sizes.values()) == 2000 and max(sizes.values()) < 2 * min(sizes.values())
+
+
 def test_probabilities_are_normalised():
     random = np.random.default_rng(2)
     shares = random.random(17)
