@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from dagtrail import schemas as S
 from dagtrail.functions.payload import counter_texts, kv, with_counters
-from dagtrail.operators.lookup import lookup_join
+from dagtrail.operators.lookup import hot_keys, lookup_join
 from dagtrail.operators.vertices import attempt_starts, llap_vertices
 
 
@@ -25,14 +25,14 @@ def _ids(events: DataFrame) -> DataFrame:
     return events.where(F.col("eventType") == S.TASK_ATTEMPT_FINISHED).select("vertexId")
 
 
-def placements(events: DataFrame, names: DataFrame) -> DataFrame:
+def placements(events: DataFrame, names: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Node and container of the first finish of each LLAP attempt, one row per attempt.
 
     A start belongs to the first finish of its attempt only. That finish is found by an
     aggregate: no window is needed, and an attempt id with very many finishes is no hot key.
     """
     keys = attempt_finishes(events).select("vertexId", *FINISH)
-    llap = lookup_join(keys, names.select("vertexId"), "vertexId", FINISH, weigh=_ids(events))
+    llap = lookup_join(keys, names.select("vertexId"), "vertexId", FINISH, _ids(events), hot)
     first = llap.groupBy("taskAttemptId").agg(F.min(F.struct(*S.ORDER)).alias("first"))
     return first.join(attempt_starts(events), "taskAttemptId").select(
         "taskAttemptId",
@@ -60,8 +60,9 @@ def task_features(events: DataFrame) -> DataFrame:
         "eventData",
     )
     names = llap_vertices(events).select("vertexId", "vertexName", F.col("numTasks").alias("vertexNumTasks"))
-    named = lookup_join(with_counters(finishes), names, "vertexId", FINISH, weigh=_ids(events))
-    rows = named.withColumnRenamed("vertexId", "vertexID").join(placements(events, names), FINISH, "left")
+    hot = hot_keys(_ids(events), "vertexId")
+    named = lookup_join(with_counters(finishes), names, "vertexId", FINISH, hot=hot)
+    rows = named.withColumnRenamed("vertexId", "vertexID").join(placements(events, names, hot), FINISH, "left")
     return rows.select(*S.REPORT_COLUMNS)
 
 
