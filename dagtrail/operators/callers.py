@@ -101,17 +101,22 @@ def ingest_summary(
 ) -> DataFrame:
     """Counts of one ingest: read, without caller, rejected by type, passed, files.
 
-    Events are reduced to a row per DAG, which also tells whether the DAG has a caller,
-    so no event is joined. `files` is the number of files read, empty ones too; without it
-    the files that gave events count.
+    Events are read once and reduced to a row per DAG and file; whether the DAG has a caller
+    is summed over its files, so no event is joined. `files` is the number of files read, empty
+    ones too; without it the files that gave events count.
     """
     wanted = F.lit(True) if types is None else F.col("eventType").isin(list(types))
     names_caller = (F.col("eventType") == S.DAG_SUBMITTED) & kv("callerId").isNotNull()
-    per_dag = events.groupBy("dagId").agg(
+    keys = ["dagId", "srcFile"] if files is None else ["dagId"]
+    per_dag = events.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(wanted).alias("wanted"),
         F.count_if(names_caller).alias("named"),
     )
+    found = F.lit(files).cast("bigint")
+    if files is None:
+        found = F.count_distinct("srcFile")
+        per_dag = per_dag.withColumn("named", F.sum("named").over(Window.partitionBy("dagId")))
     # events without a DAG id share no caller
     has_caller = F.col("dagId").isNotNull() & (F.col("named") > 0)
 
@@ -123,15 +128,11 @@ def ingest_summary(
         over(F.col("total"), ~has_caller).alias("eventsWithoutCaller"),
         over(F.col("total") - F.col("wanted"), has_caller).alias("rejectedEvents"),
         over(F.col("wanted"), has_caller).alias("passedEvents"),
+        found.alias("foundFiles"),
     )
     surviving = F.col("totalEvents") - F.col("rejectedEvents")
-    found = F.lit(files).cast("bigint")
-    if files is None:
-        found = events.select("srcFile").distinct().agg(F.count("srcFile").alias("files")).scalar()
-    return (
-        counts.withColumn("survivingEvents", surviving)
-        .withColumn("survivingPercent", F.expr("survivingEvents * 100 div nullif(totalEvents, 0)"))
-        .withColumn("foundFiles", found)
+    return counts.withColumn("survivingEvents", surviving).withColumn(
+        "survivingPercent", F.expr("survivingEvents * 100 div nullif(totalEvents, 0)")
     )
 
 
