@@ -72,6 +72,32 @@ def removed_afterwards(spark: SparkSession) -> Iterator[None]:
             remove_folder(spark, path)
 
 
+@contextmanager
+def replaced_folder(spark: SparkSession, path: str) -> Iterator[str]:
+    """Give a new folder beside `path` to write to, which takes its place once it is complete.
+
+    If the work fails, the new folder goes and what lay at `path` stays as it was.
+    """
+    parent, slash, name = path.rstrip("/").rpartition("/")
+    # scans pass over names with an underscore
+    written, earlier = (f"{parent}{slash}_{name}-{uuid.uuid4().hex}" for _ in range(2))
+    try:
+        yield written
+    except BaseException:
+        remove_folder(spark, written)
+        raise
+    fs, target = _file_system(spark, path)
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    replaces = fs.exists(target)
+    if replaces and not fs.rename(target, to_path(earlier)):
+        raise OSError(f"cannot move {path} away; the new report is at {written}")
+    if not fs.rename(to_path(written), target):
+        if replaces:
+            fs.rename(to_path(earlier), target)
+        raise OSError(f"cannot move {written} to {path}")
+    remove_folder(spark, earlier)
+
+
 def store_rows(df: DataFrame, label: str) -> DataFrame:
     """Write rows to a new table in the shared folder and go on from that table."""
     path = shared_folder(df.sparkSession, label)

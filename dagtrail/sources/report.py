@@ -1,11 +1,13 @@
 """Reading and writing the reports."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagtrail import schemas as S
 from dagtrail.operators.stats import WHOLE, succ_task_events
-from dagtrail.sources.paths import require_directory
+from dagtrail.sources.paths import replaced_folder, require_directory
 
 
 # Text as the report database loads it: quotes are doubled, blank is unknown.
@@ -13,13 +15,11 @@ TEXT_OPTIONS = {"sep": "|", "header": True, "escape": '"', "emptyValue": ""}
 
 
 def _write(df: DataFrame, path: str, file_format: str) -> None:
-    writer = df.write.mode("overwrite")
-    if file_format == "csv":
-        writer.options(**TEXT_OPTIONS).csv(path)
-    elif file_format == "parquet":
-        writer.parquet(path)
-    else:
+    if file_format not in ("csv", "parquet"):
         raise ValueError(f"unknown report format {file_format!r}, expected parquet or csv")
+    options = TEXT_OPTIONS if file_format == "csv" else {}
+    with replaced_folder(df.sparkSession, path) as written:
+        df.write.format(file_format).options(**options).save(written)
 
 
 def write_task_report(report: DataFrame, path: str, file_format: str = "parquet") -> None:
@@ -59,24 +59,37 @@ def create_report_tables(report: DataFrame, database: str) -> None:
     `taskevents` holds the report, `succtaskevents` the succeeded attempts, kept as a
     table because most questions start from them. `averagesbynode` is a view of mean and
     deviation of their durations for each node and task type.
+
+    New tables are written and measured beside the old ones and renamed once all are complete,
+    so a job that fails before leaves the old ones.
     """
     spark = report.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    spark.sql(f"DROP VIEW IF EXISTS {database}.averagesbynode")
-    for name in ("succtaskevents", "taskevents"):
+    mark = uuid.uuid4().hex
+    names = ("taskevents", "succtaskevents")
+    try:
+        report.write.format("parquet").saveAsTable(f"{database}.taskevents_{mark}")
+        stored = spark.table(f"{database}.taskevents_{mark}")
+        succ_task_events(stored).write.format("parquet").saveAsTable(f"{database}.succtaskevents_{mark}")
+        for name in names:
+            spark.sql(f"ANALYZE TABLE {database}.{name}_{mark} COMPUTE STATISTICS FOR ALL COLUMNS")
+    except BaseException:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {database}.{name}_{mark}")
+        raise
+    for name in names:
         spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
-    report.write.mode("overwrite").format("parquet").saveAsTable(f"{database}.taskevents")
-    stored = spark.table(f"{database}.taskevents")
-    succ_task_events(stored).write.mode("overwrite").format("parquet").saveAsTable(f"{database}.succtaskevents")
-    for name in ("taskevents", "succtaskevents"):
-        spark.sql(f"ANALYZE TABLE {database}.{name} COMPUTE STATISTICS FOR ALL COLUMNS")
-    n, total = "count(taskDurationMillis)", "sum(cast(taskDurationMillis as decimal(38,0)))"
-    squares = "sum(cast(taskDurationMillis as decimal(38,0)) * taskDurationMillis)"
+        spark.sql(f"ALTER TABLE {database}.{name}_{mark} RENAME TO {database}.{name}")
+    # as in functions.moments: doubles only where 38 digits do not hold the exact numbers
+    n, value = "cast(count(taskDurationMillis) as decimal(19,0))", "cast(taskDurationMillis as decimal(19,0))"
+    total, squares = "cast(sum(taskDurationMillis) as decimal(19,0))", f"sum({value} * {value})"
+    exact = f"cast(try_subtract(try_multiply({n}, {squares}), {total} * {total}) AS double)"
+    rough = f"cast({n} AS double) * cast({squares} AS double) - power(cast({total} AS double), 2)"
     spark.sql(
-        f"""CREATE VIEW {database}.averagesbynode AS
+        f"""CREATE OR REPLACE VIEW {database}.averagesbynode AS
             SELECT hostname, taskType, count(*) AS tasksInType,
                    cast(avg(taskDurationMillis) AS {WHOLE}) AS avg,
-                   cast(sqrt(cast({n} * {squares} - {total} * {total} AS double)) / {n} AS {WHOLE}) AS stddev
+                   cast(sqrt(coalesce({exact}, greatest({rough}, 0))) / count(taskDurationMillis) AS {WHOLE}) AS stddev
               FROM {database}.succtaskevents
              GROUP BY hostname, taskType"""
     )
