@@ -127,8 +127,8 @@ with h as (
    group by dagId
 ), vertices as (
   select vertexId, arg_max(appId, (eventTime, srcPos)) as appId, bool_or(appId <> '') as named,
-         case when any_value(u) % 3 = 0 then 'Map' else 'Reducer' end as opType,
-         concat(case when any_value(u) % 3 = 0 then 'Map ' else 'Reducer ' end,
+         case when arg_max(u, (eventTime, srcPos)) % 3 = 0 then 'Map' else 'Reducer' end as opType,
+         concat(case when arg_max(u, (eventTime, srcPos)) % 3 = 0 then 'Map ' else 'Reducer ' end,
                 arg_max(k, (eventTime, srcPos)) % 5) as vertexName,
          arg_max(k, (eventTime, srcPos)) as numTasks
     from hist
@@ -185,7 +185,10 @@ _FEATURES = f"{_HISTORY} select * from features"
 
 
 # A third of all events belongs to one vertex.
-_HOT_VERTEX = "case when srcPos % 3 = 0 then 'vertex_1' else vertexId end"
+_FEATURES_HOT = _FEATURES.replace(
+    "concat('vertex_', u) as vertexId",
+    "case when srcPos % 3 = 0 then 'vertex_1' else concat('vertex_', u) end as vertexId",
+)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -340,6 +343,15 @@ def oracle_sql() -> dict[str, str]:
               from pairs""",
         "ats_task_features": _FEATURES,
         "limited_events": f"{_HISTORY} select {_IDS} from hist order by srcPos limit 100",
+        "read_until": f"""
+            {_HISTORY} select {_IDS} from hist where eventType = 'TASK_FINISHED' order by srcPos limit 100""",
+        "lost_counters": f"""
+            {_HISTORY}
+            select '{min(_PLACES)}' as counter, count(*) as lost from hist
+             where eventType = 'TASK_ATTEMPT_FINISHED' and srcPos % 4 = 0
+            union all
+            select '{max(_PLACES)}', count(*) from hist
+             where eventType = 'TASK_ATTEMPT_FINISHED' and srcPos % 5 = 0""",
         "run_job_features": _FEATURES,
         "run_job_times": _TIMES,
         "run_job_features_json": _FEATURES,
@@ -351,13 +363,7 @@ def oracle_sql() -> dict[str, str]:
         "stream_task_features": _FEATURES,
         "stream_ats_features": _FEATURES,
         "stream_followed_features": _FEATURES,
-        "task_features_hot": f"""
-            {_HISTORY}
-            select eventTime, {_HOT_VERTEX} as "vertexID", ms + case when k % 3 <> 0 then 0 else 7 end as "taskDurationMillis"
-              from hist
-             where eventType = 'TASK_ATTEMPT_FINISHED'
-               and {_HOT_VERTEX} in (select {_HOT_VERTEX} from hist
-                                      where eventType = 'VERTEX_INITIALIZED' and u % 4 <> 0 and k % 10 <> 3)""",
+        "task_features_hot": _FEATURES_HOT,
         "events_with_caller_hot": f"""
             {_HISTORY}, hot as (
               select * replace (case when srcPos % 3 = 0 then 'dag_1' else dagId end as dagId) from hist),

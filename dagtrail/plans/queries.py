@@ -10,7 +10,7 @@ from dagtrail import schemas as S
 from dagtrail.functions.payload import counter_values, kv, kv_or_blank, task_duration
 from dagtrail.operators import callers as C
 from dagtrail.operators import stats
-from dagtrail.operators.features import attempt_finishes, task_features
+from dagtrail.operators.features import attempt_finishes, lost_counters, task_features
 from dagtrail.operators.lookup import SLICE_ROWS_SETTING
 from dagtrail.operators.times import task_times, time_detail
 from dagtrail.operators.vertices import attempt_starts, llap_vertices, task_finishes
@@ -19,7 +19,7 @@ from dagtrail.plans.processors import Processor, registered
 from dagtrail.sources import tables
 from dagtrail.sources.entitylog import ats_summary
 from dagtrail.sources.events import read_events
-from dagtrail.sources.history import EVENTS_BELOW, MANIFEST_BELOW, read_base, write_history
+from dagtrail.sources.history import EVENTS_BELOW, MANIFEST_BELOW, read_base, read_until, write_history
 from dagtrail.sources.paths import shared_folder
 from dagtrail.sources.report import create_report_tables, read_task_report, write_task_report
 from dagtrail.streaming.features import stream_ats, stream_history, stream_task_features
@@ -141,6 +141,30 @@ def _own_processor(spark: SparkSession, folder: str) -> DataFrame:
     return own.apply(tables.history_from_events(spark, folder))
 
 
+def _lost_counters(events: DataFrame) -> DataFrame:
+    """A counter made a fraction in a quarter of the events, another beyond 64 bits in a fifth."""
+    names = sorted(S.REPORT_COUNTERS.values())
+    for name, prefix, every in ((names[0], "0.5", 4), (names[-1], "9" * 20, 5)):
+        behind = f'(?<="counterName":"{name}","counterValue":)'
+        put = F.transform(
+            "eventData",
+            lambda pair: F.struct(
+                pair["key"].alias("key"), F.regexp_replace(pair["value"], behind, prefix).alias("value")
+            ),
+        )
+        events = events.withColumn("eventData", F.when(F.col("srcPos") % every == 0, put).otherwise(F.col("eventData")))
+    return lost_counters(events)
+
+
+def _read_until(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 100 task finishes by position, of files that each hold a range of positions."""
+    landing = shared_folder(spark, "landing")
+    events = tables.history_from_events(spark, folder).drop("srcFile")
+    events.repartitionByRange(40, "srcPos").write.parquet(landing)
+    finishes = read_until(spark, landing, 100, lambda e: C.filter_event_types(e, [S.TASK_FINISHED]), ["srcPos"])
+    return _ids(finishes)
+
+
 def _detail_job(spark: SparkSession, folder: str) -> DataFrame:
     landing, report = shared_folder(spark, "landing"), shared_folder(spark, "report")
     write_history(tables.history_from_events(spark, folder), landing)
@@ -259,6 +283,8 @@ def queries() -> dict[str, Query]:
         "ats_event_data": _on_entities(_ats_event_data),
         "ats_task_features": _on_entities(task_features),
         "limited_events": _on_history(lambda e: _ids(C.limited_events(e, 100, ["srcPos"], one_task_rows=50))),
+        "read_until": _read_until,
+        "lost_counters": _on_history(_lost_counters, S.TASK_ATTEMPT_FINISHED),
         "run_job_features": _job("task_features", S.REPORT_COLUMNS),
         "run_job_times": _job("task_times", S.TIME_COLUMNS),
         "run_job_features_json": _json_job,
@@ -267,9 +293,7 @@ def queries() -> dict[str, Query]:
         "time_detail_job": _detail_job,
         "report_tables": _report_tables,
         "entity_summary": _entity_summary,
-        "task_features_hot": _hot(
-            lambda e: task_features(e).select("eventTime", "vertexID", S.DURATION_COLUMN), "vertexId", "vertex_1"
-        ),
+        "task_features_hot": _hot(task_features, "vertexId", "vertex_1"),
         "events_with_caller_hot": _hot(lambda e: _ids(C.with_caller(e)), "dagId", "dag_1"),
         "stream_task_features": _stream_task_features,
         "stream_ats_features": _stream_ats_features,

@@ -1,12 +1,21 @@
 """History events and manifest entries as tables."""
 
+import math
+import re
+from collections.abc import Callable
+from functools import reduce
+from itertools import islice
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagtrail import schemas as S
+from dagtrail.operators.callers import ONE_TASK_ROWS, limited_events
 from dagtrail.sources.paths import is_directory, require_directory, shared_folder, store_rows
 
 FORMATS = ("parquet", "json")
+# At most this many files are listed to one scan that reads until enough events are found.
+MOST_FILES = 10_000
 # The text of a JSON record that does not fit the schema.
 REJECTED = "rejectedRecord"
 
@@ -31,19 +40,25 @@ def positioned(events: DataFrame) -> DataFrame:
     return events.select(*[filled.get(c, F.col(c)).alias(c) for c in S.HISTORY_EVENT])
 
 
-def _json_records(spark: SparkSession, path: str, columns: dict[str, str], skip_damaged_files: bool) -> DataFrame:
+def _require(spark: SparkSession, path: str | list[str]) -> None:
+    """One path must be a directory; listed files are taken as they are."""
+    if isinstance(path, str):
+        require_directory(spark, path)
+
+
+def _json_records(spark: SparkSession, path: str | list[str], columns: dict[str, str], skip_damaged_files: bool) -> DataFrame:
     """All records of JSON files with their positions, those that do not fit too, parsed once.
 
     Positions count records as they are read. That must happen once: two scans may split files
     differently. So the records are stored, and everything goes on from the stored table.
     """
-    require_directory(spark, path)
+    _require(spark, path)
     reader = _reader(spark, "json", skip_damaged_files).schema(S.ddl({**columns, REJECTED: "string"}))
     return reader.json(path)
 
 
 def read_json_history(
-    spark: SparkSession, path: str, skip_damaged_files: bool = False
+    spark: SparkSession, path: str | list[str], skip_damaged_files: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Events of JSON files, and the records that are none: file, position and text.
 
@@ -63,12 +78,12 @@ def read_json_history(
 
 def read_history(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     file_format: str = "parquet",
     skip_damaged_files: bool = False,
     has_positions: bool = False,
 ) -> DataFrame:
-    """Scan all history events below a directory; absent columns are NULL.
+    """Scan all history events below a directory, or of listed files; absent columns are NULL.
 
     `skip_damaged_files` keeps what was read of a file that ends early instead of
     failing the job. `has_positions` says that every event carries `srcFile` and
@@ -78,11 +93,52 @@ def read_history(
     if file_format == "json":
         return read_json_history(spark, path, skip_damaged_files)[0]
     reader = _reader(spark, file_format, skip_damaged_files).schema(S.ddl(S.HISTORY_EVENT))
-    require_directory(spark, path)
-    events = reader.parquet(path)
+    _require(spark, path)
+    events = reader.parquet(*([path] if isinstance(path, str) else path))
     return events if has_positions else positioned(events)
 
 
+def _literal(path: str) -> str:
+    """A path that scans don't take for a pattern."""
+    return re.sub(r"([][{}*?\\])", r"\\\1", path)
+
+
+def read_until(
+    spark: SparkSession,
+    path: str,
+    limit: int,
+    keep: Callable[[DataFrame], DataFrame] = lambda events: events,
+    order: list[str] | None = None,
+    one_task_rows: int = ONE_TASK_ROWS,
+    **source_options,
+) -> DataFrame:
+    """At most `limit` of the events that `keep` lets through, opening no more files than it takes.
+
+    Files are read in the order of their names, in batches: the first has a file for each task
+    slot, each later one as many as the files so far let expect. What passed is stored, so no file
+    is read twice. `order` is that among the events of the files read; by `srcFile` and `srcPos`, where
+    both were made up, these are the same events as in a scan of all files. Fewer events than `limit`
+    take all files; a directory without files gives none.
+    """
+    if limit <= 0:
+        raise ValueError("limit must be positive")
+    require_directory(spark, path)
+    # paths alone: nothing of a file is read
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_literal(path))
+    names = (_literal(row.path) for row in listed.select("path").sort("path").toLocalIterator())
+    stored, opened, found = [], 0, 0
+    size = spark.sparkContext.defaultParallelism
+    while found < limit and (files := list(islice(names, size))):
+        stored.append(store_rows(keep(read_history(spark, files, **source_options)), "until"))
+        opened, found = opened + len(files), found + stored[-1].count()
+        # a quarter more than expected, or twice what gave nothing
+        expected = math.ceil(1.25 * (limit - found) * opened / found) if found else 2 * opened
+        size = min(max(expected, 1), MOST_FILES)
+    if not stored:
+        return keep(read_history(spark, [_literal(path)], **source_options))
+    return limited_events(reduce(DataFrame.unionByName, stored), limit, order, one_task_rows)
+
+
 def write_history(events: DataFrame, path: str) -> None:
     """Write events as a Parquet landing table.
 

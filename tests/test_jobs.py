@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 
 from dagtrail import schemas as S
 from dagtrail.operators import stats
-from dagtrail.operators.callers import limited_events
+from dagtrail.operators.callers import filter_event_types, limited_events
 from dagtrail.operators.features import task_features
 from dagtrail.operators.times import task_times, time_detail
 from dagtrail.plans.jobs import main, run_job
 from dagtrail.plans.processors import Processor, find, processors, register, registered
+from dagtrail.sources import history as history_module
 from dagtrail.sources import report as R
 from dagtrail.sources.entitylog import ats_summary
 from dagtrail.sources.events import read_events
-from dagtrail.sources.history import read_history, read_json_history, read_manifest, write_history
-from tests.samples import event, finish, frame, start, submitted, task, vertex
+from dagtrail.sources.history import read_history, read_json_history, read_manifest, read_until, write_history
+from tests.samples import counter_doc, event, finish, frame, start, submitted, task, vertex
 from tests.test_entitylog import as_entity
 
 
@@ -68,6 +69,62 @@ def test_a_half_written_line_is_left_out(spark, tmp_path):
     assert [r.eventTime for r in read_history(spark, str(tmp_path), "json").collect()] == [0, 1]
 
 
+def _many_files(spark, folder, files=60, rows=10):
+    """Files in the order of their names; an event in two passes a filter on `A`."""
+    events = [event("A" if i % 2 else "B", time=i, pos=i) for i in range(files * rows)]
+    bare = frame(spark, events).drop("srcFile", "srcPos")
+    bare.repartitionByRange(files, "eventTime").sortWithinPartitions("eventTime").write.parquet(folder)
+
+
+def test_reading_until_enough_events_passed(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "many")
+    _many_files(spark, folder)
+    listed = []
+    scan = history_module.read_history
+    monkeypatch.setattr(history_module, "read_history", lambda s, files, **kw: listed.append(files) or scan(s, files, **kw))
+    keep = lambda df: filter_event_types(df, ["A"])
+    order = ["srcFile", "srcPos"]
+    for limit, most in ((1, 8), (60, 16), (10_000, 60)):
+        listed.clear()
+        found = read_until(spark, folder, limit, keep, order)
+        assert sum(map(len, listed)) <= most
+        assert len(set(sum(listed, []))) == sum(map(len, listed)), "no file is read twice"
+        assert rows(found) == rows(limited_events(keep(read_history(spark, folder)), limit, order))
+
+
+def test_reading_until_enough_where_nothing_passes(spark, tmp_path):
+    folder = str(tmp_path / "many [1]")
+    _many_files(spark, folder, files=20)
+    assert read_until(spark, folder, 5, lambda df: filter_event_types(df, ["C"])).count() == 0
+    assert read_until(spark, folder, 5).count() == 5
+    (tmp_path / "empty").mkdir()
+    assert read_until(spark, str(tmp_path / "empty"), 5).count() == 0
+    with pytest.raises(ValueError, match="positive"):
+        read_until(spark, folder, 0)
+
+
+def test_a_failing_job_leaves_the_old_report(spark, tmp_path, history):
+    path = str(tmp_path / "reports" / "features")
+    run_job(spark, "task_features", history, path)
+    old = rows(spark.read.parquet(path))
+    assert len(old) == 2
+    failing = read_history(spark, history).transform(task_features).withColumn("status", F.raise_error(F.lit("lost")))
+    with pytest.raises(Exception, match="lost"):
+        R.write_task_report(failing, path)
+    assert rows(spark.read.parquet(path)) == old
+    R.write_task_report(task_features(read_history(spark, history)).limit(1), path)
+    assert spark.read.parquet(path).count() == 1
+    assert not [f for f in os.listdir(tmp_path / "reports") if f.startswith("_")]
+
+
+def test_lost_counters_of_a_job(spark, tmp_path):
+    landing = str(tmp_path / "landing")
+    doc = counter_doc([("CREATED_FILES", 1.5), ("ROWS_EMITTED", 5)])
+    write_history(frame(spark, [vertex("v"), finish("a", counters=doc)]), landing)
+    run_job(spark, "task_features", landing, str(tmp_path / "report"), lost_path=str(tmp_path / "lost"))
+    assert rows(spark.read.json(str(tmp_path / "lost")).select("counter", "lost")) == [("CREATED_FILES", 1)]
+
+
 def test_damaged_files(spark, tmp_path, history):
     (tmp_path / "history" / "broken.parquet").write_bytes(b"no parquet at all")
     with pytest.raises(Exception, match="broken"):
