@@ -345,6 +345,10 @@ def oracle_sql() -> dict[str, str]:
         "limited_events": f"{_HISTORY} select {_IDS} from hist order by srcPos limit 100",
         "read_until": f"""
             {_HISTORY} select {_IDS} from hist where eventType = 'TASK_FINISHED' order by srcPos limit 100""",
+        "file_status": f"""
+            {_HISTORY}
+            select cast(5 as bigint) as files, cast(1 as bigint) as damaged, count(*) as stated, count(*) as events
+              from hist""",
         "lost_counters": f"""
             {_HISTORY}
             select '{min(_PLACES)}' as counter, count(*) as lost from hist

@@ -19,7 +19,7 @@ from dagtrail.plans.processors import Processor, registered
 from dagtrail.sources import tables
 from dagtrail.sources.entitylog import ats_summary
 from dagtrail.sources.events import read_events
-from dagtrail.sources.history import EVENTS_BELOW, MANIFEST_BELOW, read_base, read_until, write_history
+from dagtrail.sources.history import EVENTS_BELOW, MANIFEST_BELOW, file_status, read_base, read_until, write_history
 from dagtrail.sources.paths import shared_folder
 from dagtrail.sources.report import create_report_tables, read_task_report, write_task_report
 from dagtrail.streaming.features import stream_ats, stream_history, stream_task_features
@@ -165,6 +165,20 @@ def _read_until(spark: SparkSession, folder: str) -> DataFrame:
     return _ids(finishes)
 
 
+def _file_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts over four whole files and one that is no Parquet."""
+    landing = shared_folder(spark, "landing")
+    events = tables.history_from_events(spark, folder)
+    write_history(events.repartition(4, "srcPos"), f"{landing}/whole")
+    events.select("taskId").coalesce(1).write.text(f"{landing}/broken")
+    return file_status(spark, landing).agg(
+        F.count(F.lit(1)).alias("files"),
+        F.count_if("damaged").alias("damaged"),
+        F.sum("statedEvents").alias("stated"),
+        F.sum("events").alias("events"),
+    )
+
+
 def _detail_job(spark: SparkSession, folder: str) -> DataFrame:
     landing, report = shared_folder(spark, "landing"), shared_folder(spark, "report")
     write_history(tables.history_from_events(spark, folder), landing)
@@ -284,6 +298,7 @@ def queries() -> dict[str, Query]:
         "ats_task_features": _on_entities(task_features),
         "limited_events": _on_history(lambda e: _ids(C.limited_events(e, 100, ["srcPos"], one_task_rows=50))),
         "read_until": _read_until,
+        "file_status": _file_status,
         "lost_counters": _on_history(_lost_counters, S.TASK_ATTEMPT_FINISHED),
         "run_job_features": _job("task_features", S.REPORT_COLUMNS),
         "run_job_times": _job("task_times", S.TIME_COLUMNS),

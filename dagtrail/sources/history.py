@@ -16,6 +16,8 @@ from dagtrail.sources.paths import is_directory, require_directory, shared_folde
 FORMATS = ("parquet", "json")
 # At most this many files are listed to one scan that reads until enough events are found.
 MOST_FILES = 10_000
+# A Parquet file without rows is smaller than this; only such files are looked into for their end.
+EMPTY_BYTES = 1 << 16
 # The text of a JSON record that does not fit the schema.
 REJECTED = "rejectedRecord"
 
@@ -98,6 +100,39 @@ def read_history(
     return events if has_positions else positioned(events)
 
 
+def file_status(spark: SparkSession, path: str) -> DataFrame:
+    """Each Parquet file of a history: bytes, events stated and readable, whether it is damaged.
+
+    What a file states is in its footer; a scan of no columns reads that alone. What is readable
+    is what `skip_damaged_files` keeps of all columns, with a checksum of it that does not depend on
+    order. A file is damaged if it has no footer, as after a writer that died, or fewer events than it
+    states. Files without events are told apart by their end.
+    """
+    require_directory(spark, path)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(_literal(path))
+    file = F.col("_metadata.file_path").alias("srcFile")
+    listed = listing.select(file, F.col("length").alias("bytes"))
+    small = listing.where(F.col("length") <= EMPTY_BYTES)
+    ended = small.select(file, F.expr("substring(content, -4) = X'50415231'").alias("ended"))
+    scan = _reader(spark, "parquet", True).schema(S.ddl(S.HISTORY_EVENT)).parquet(_literal(path))
+    stated = scan.groupBy(file).agg(F.count(F.lit(1)).alias("statedEvents"))
+    readable = scan.groupBy(file).agg(
+        F.count(F.lit(1)).alias("events"), F.bit_xor(F.xxhash64(*S.HISTORY_EVENT)).alias("checksum")
+    )
+    all_files = listed.join(stated, "srcFile", "left").join(readable, "srcFile", "left").join(ended, "srcFile", "left")
+    events = F.coalesce("events", F.lit(0))
+    return all_files.select(
+        "srcFile",
+        "bytes",
+        "statedEvents",
+        events.alias("events"),
+        "checksum",
+        F.when(F.col("statedEvents").isNull(), ~F.coalesce("ended", F.lit(False)))
+        .otherwise(events < F.col("statedEvents"))
+        .alias("damaged"),
+    )
+
+
 def _literal(path: str) -> str:
     """A path that scans don't take for a pattern."""
     return re.sub(r"([][{}*?\\])", r"\\\1", path)

@@ -17,7 +17,7 @@ from dagtrail.sources import history as history_module
 from dagtrail.sources import report as R
 from dagtrail.sources.entitylog import ats_summary
 from dagtrail.sources.events import read_events
-from dagtrail.sources.history import read_history, read_json_history, read_manifest, read_until, write_history
+from dagtrail.sources.history import file_status, read_history, read_json_history, read_manifest, read_until, write_history
 from tests.samples import counter_doc, event, finish, frame, start, submitted, task, vertex
 from tests.test_entitylog import as_entity
 
@@ -132,6 +132,31 @@ def test_damaged_files(spark, tmp_path, history):
     assert read_history(spark, history, skip_damaged_files=True).count() == len(sample())
 
 
+def test_status_of_files(spark, tmp_path):
+    landing = tmp_path / "history"
+    events = frame(spark, [event("A", {"k": f"{i * 7919}"}, time=i, pos=i) for i in range(2000)]).coalesce(1)
+    for name in ("whole", "cut", "flipped"):
+        write_history(events, str(landing / name))
+    write_history(events.limit(0), str(landing / "none"))
+    for name in ("cut", "flipped"):
+        (part,) = (landing / name).glob("part-*")
+        data = bytearray(part.read_bytes())
+        if name == "cut":
+            del data[len(data) // 2 :]
+        else:
+            data[4 : len(data) // 2] = bytes(len(data) // 2 - 4)
+        part.write_bytes(data)
+        (landing / name / f".{part.name}.crc").unlink()
+    found = {r.srcFile.split("/")[-2]: r for r in file_status(spark, str(landing)).collect()}
+    assert {name: (r.statedEvents, r.damaged) for name, r in found.items()} == {
+        "whole": (2000, False), "cut": (None, True), "flipped": (2000, True), "none": (None, False),
+    }
+    assert found["whole"].events == 2000 and found["flipped"].events < 2000
+    assert sum(r.events for r in found.values()) == read_history(spark, str(landing), skip_damaged_files=True).select(
+        F.xxhash64(*S.HISTORY_EVENT).alias("all")
+    ).agg(F.count(F.lit(1)), F.max("all")).first()[0]
+
+
 def test_a_type_filter_reaches_the_files(spark, history):
     plan = read_history(spark, history, has_positions=True).where("eventType = 'TASK_FINISHED'").select("taskId")
     text = plan._jdf.queryExecution().executedPlan().toString()
