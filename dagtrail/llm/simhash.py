@@ -241,7 +241,7 @@ def near_duplicates(documents: DataFrame, shingle_words: int = SHINGLE_WORDS) ->
     the component's root fingerprint and a hash of the row's text.
 
     Every row is answered, repeated ids too. Null ids are answered but name no component;
-    where all ids of a component are null, so is its name.
+    where all ids of a component are null, so is its name. Very long texts count whole; an empty table gives none.
     """
     rows = store_rows(fingerprints(documents, shingle_words), "fingerprints")
     distinct = store_rows(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")

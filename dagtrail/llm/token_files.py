@@ -29,7 +29,8 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str) -> None:
     """Write the ids of each text and a separator after it, a file for each task.
 
     A null or empty text is a separator alone. Spark's text writer puts the bytes of a row and the
-    separator's two bytes, which are a valid line end, so files are committed like any others.
+    separator's two bytes, which are a valid line end, so files are committed like any others. Very long
+    texts are encoded whole and repeated rows written each; an empty table gives no tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

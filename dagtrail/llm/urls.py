@@ -129,7 +129,8 @@ def judge(pages: DataFrame, model: PipelineModel, rules: tuple[tuple[str, str],
     """page_id, host, path, rule and verdict of each row: the rule's verdict, else the model's.
 
     A null url, or one without `://`, has an empty host and path; the model then has no n-gram but
-    that of the frame. Rows are judged one by one; repeated rows stay.
+    that of the frame. Rows are judged one by one; repeated rows stay; very long urls count whole; an empty table
+    gives none.
     """
     rows = pages.select("page_id", host(F.col("url")).alias("_host"), path(F.col("url")).alias("_path"))
     known = model.transform(_with_grams(rows))
