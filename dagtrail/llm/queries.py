@@ -143,7 +143,8 @@ def _token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
     token_files.write_token_files(table(spark, folder, "documents"), path, WORD_BPE)
     counts = token_files.token_counts(spark, path)
-    return counts.withColumn("file", F.regexp_extract("file", "[^/]*$", 0))
+    # what follows in a name is drawn for each run
+    return counts.withColumn("file", F.regexp_extract("file", "part-[0-9]+", 0))
 
 
 def _pack(spark: SparkSession, folder: str) -> DataFrame:
