@@ -101,3 +101,18 @@ def test_a_batch_that_is_run_again_changes_nothing(spark, tmp_path):
         crc.unlink()
     follow(stream_history(spark, folder), report)
     assert _sorted(followed_report(spark, report)) == want
+
+
+def test_keys_of_one_bucket_are_kept_apart(spark, tmp_path):
+    folder, report, so_far = str(tmp_path / "events"), str(tmp_path / "report"), []
+    crowd = [start(f"c{i % 40}", f"w{i % 13}", time=i * 7 % 31, node=f"h:{i}") for i in range(80)]
+    crowd += [finish(f"c{i % 40}", f"w{i % 13}", time=i * 11 % 31) for i in range(120)]
+    crowd += [vertex(f"w{i}", name=f"Map {i}", scheduler="LLAP" if i % 3 else "YARN", time=i) for i in range(13)]
+    random.Random(3).shuffle(crowd)
+    for events in (crowd[:70], ARRIVALS[0] + ARRIVALS[1], crowd[70:150], crowd[150:] + ARRIVALS[2], ARRIVALS[3] + ARRIVALS[4]):
+        so_far += events
+        _append(frame(spark, events), folder)
+        follow(stream_history(spark, folder), report, buckets=3)
+    landed = spark.read.option("recursiveFileLookup", True).parquet(f"{report}/landing")
+    assert landed.count() == len(so_far)
+    assert _sorted(followed_report(spark, report)) == _sorted(task_features(landed))
