@@ -15,6 +15,7 @@ from dagtrail.plans.jobs import main, run_job
 from dagtrail.plans.processors import Processor, find, processors, register, registered
 from dagtrail.sources import history as history_module
 from dagtrail.sources import report as R
+from dagtrail.sources import tables
 from dagtrail.sources.entitylog import ats_summary
 from dagtrail.sources.events import read_events
 from dagtrail.sources.history import file_status, read_history, read_json_history, read_manifest, read_until, write_history
@@ -357,3 +358,12 @@ def test_files_without_events_count(spark, tmp_path):
     (logs / "entitylog-2").write_text("")
     (logs / "other").write_text("{}")
     assert tuple(ats_summary(spark, str(logs)).first()) == (1, 0, 1, 2)
+
+
+def test_events_are_dealt_before_their_payloads_are_made(spark):
+    folder = "/root/testdata/sf0.001"
+    dealt = tables.history_from_events(spark, folder, tasks=3)
+    below = dealt._jdf.queryExecution().optimizedPlan().toString().split("Repartition", 1)[1]
+    assert "named_struct" not in below and "counterGroups" not in below
+    assert dealt.groupBy(F.spark_partition_id()).count().count() == 3
+    assert sorted(dealt.collect(), key=str) == sorted(tables.history_from_events(spark, folder).collect(), key=str)
