@@ -11,6 +11,7 @@ from dagtrail.operators import stats
 from dagtrail.operators.callers import filter_event_types, limited_events
 from dagtrail.operators.features import task_features
 from dagtrail.operators.times import task_times, time_detail
+from dagtrail.plans import queries
 from dagtrail.plans.jobs import main, run_job
 from dagtrail.plans.processors import Processor, find, processors, register, registered
 from dagtrail.sources import history as history_module
@@ -367,3 +368,9 @@ def test_events_are_dealt_before_their_payloads_are_made(spark):
     assert "named_struct" not in below and "counterGroups" not in below
     assert dealt.groupBy(F.spark_partition_id()).count().count() == 3
     assert sorted(dealt.collect(), key=str) == sorted(tables.history_from_events(spark, folder).collect(), key=str)
+
+
+def test_whole_files_are_not_gathered_to_be_sorted(spark, monkeypatch):
+    monkeypatch.setattr(queries, "write_history", lambda *_: pytest.fail("sorts a quarter of all events in a task"))
+    found = queries.queries()["file_status"](spark, "/root/testdata/sf0.001").first()
+    assert (found.files, found.damaged, found.stated) == (5, 1, found.events)
