@@ -15,6 +15,8 @@ from dagtrail.llm.common import only, remembers
 
 # Chunks remembered by one worker, about 200 bytes each; later ones are encoded each time.
 REMEMBERED = 400_000
+# Characters of what is remembered at most; text without blanks would otherwise fill the memory with long chunks.
+LONGEST = 64
 ID_BYTES = 4
 
 # Letters that composition leaves alone and whose lower case is one letter, and marks that
@@ -61,7 +63,7 @@ class _Chunks(dict):
             ids = self._piece(plain[1].lower()) + (self._piece(plain[2]) if plain[2] else b"")
         else:
             ids = pack(self._tokenizer.encode(chunk, add_special_tokens=False).ids)
-        if len(self) < REMEMBERED:
+        if len(self) < REMEMBERED and len(chunk) <= LONGEST:
             self[chunk] = ids
         return ids
 
@@ -70,7 +72,7 @@ class _Chunks(dict):
         if known is None:
             letters = text.encode().decode("latin-1").translate(_byte_letters())
             known = pack([t.id for t in self._model.tokenize(letters)])
-            if len(self._words) < REMEMBERED // 2:
+            if len(self._words) < REMEMBERED // 2 and len(text) <= LONGEST:
                 self._words[text] = known
         return known
 

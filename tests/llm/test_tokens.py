@@ -197,3 +197,11 @@ def test_packing_wastes_little_of_many_lengths():
     values, n = np.unique(lengths, return_counts=True)
     plan = packing.plan_sequences(dict(zip(values.tolist(), n.tolist(), strict=True)))
     assert sum(t for _, t in plan) <= -(-lengths.sum() // 2048) * 1.001 + 1
+
+
+def test_long_chunks_are_not_remembered():
+    encode = Encoder(WORD_BPE)
+    texts = [f"{'x' * 500}{i} " + "é" * 500 + f"{i} word{i}" for i in range(20)]
+    assert [encode.packed(t) for t in texts] == [encode.packed(t) for t in texts]
+    held = [*encode._chunks, *encode._chunks._words]
+    assert "word3" in held and max(map(len, held)) <= 64
