@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dagtrail.llm import jaccard
+from dagtrail.llm import jaccard, simhash
 from tests.llm.samples import documents, prose, rows, words
 
 
@@ -103,3 +104,17 @@ def test_the_stage_keeps_one_of_repeated_rows(spark):
         [(1, prose(1, 90)), (None, prose(2, 90)), (7, "")], key=repr
     )
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_the_stage_takes_near_fingerprints_to_the_decision(spark, monkeypatch):
+    text = prose(42, 2000)
+    near, rest = text + " end", changed(7, text, 900)
+    assert (simhash.fingerprint(text, 5) ^ simhash.fingerprint(near, 5)).bit_count() <= simhash.MAX_DISTANCE
+    # no posted shingle proposes anything, and everything that fingerprints propose is decided on whole sets
+    nothing = spark.createDataFrame([], "token long, set long, size long, at long, other long")
+    monkeypatch.setattr(jaccard, "_lists", lambda postings: nothing)
+    docs = documents(spark, [(i, t, "xx", "a", 1) for i, t in enumerate([text, near, rest, prose(43, 200)])])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 2, 3]
+    same = jaccard.numbered(docs, "doc_id", "text")
+    every = same.select("row", F.lit(1).cast("long").alias("group"))
+    assert jaccard.near_duplicates(same, groups=every).select("root").distinct().count() >= 3
