@@ -52,28 +52,67 @@ class Parameters:
 
 
 class Trainer:
-    """Adagrad on minibatches, with noise from the distribution of classes."""
+    """Adagrad on minibatches, with noise from the distribution of classes.
+
+    All rows have the same even width, so that their numbers can be summed in pairs. A class's own row
+    holds its vector, its bias less the logarithm of its noise, and zero; behind context vectors and
+    scales there are zeros, which have no gradient.
+    """
 
     def __init__(self, parameters: Parameters, shares: np.ndarray, seed: int):
-        self.p = parameters
+        classes, self._size = parameters.target.shape
+        self._width = (self._size + 2) // 2 * 2
         self._log_noise = np.log(NOISE * shares).astype(np.float32)
         self._cumulative = np.cumsum(shares)
         self._random = np.random.default_rng(seed)
-        self._squares = {n: np.full_like(getattr(parameters, n), 1e-2) for n in ("target", "context", "bias", "scale")}
+        self._own, self._context, self._scale = (
+            self._wide(v) for v in (parameters.target, parameters.context, parameters.scale)
+        )
+        self._own[:, self._size] = parameters.bias - self._log_noise
+        self._squares = {n: np.full_like(getattr(self, n), 1e-2) for n in ("_own", "_context", "_scale")}
+        # sums of gradients by class; zero between steps
+        self._sums = np.zeros((3, classes, self._width), np.float32)
+        self._pairs = [s.reshape(-1).view(np.complex64) for s in self._sums]
+        self._places = np.arange(classes * self._width // 2).reshape(classes, -1)
+        self._met = np.zeros(classes, bool)
         self.tokens = 0
 
+    def _wide(self, rows: np.ndarray) -> np.ndarray:
+        made = np.zeros((len(rows), self._width), np.float32)
+        made[:, : self._size] = rows
+        return made
+
+    @property
+    def p(self) -> Parameters:
+        own, context, scale = (v[:, : self._size].copy() for v in (self._own, self._context, self._scale))
+        return Parameters(own, context, self._own[:, self._size] + self._log_noise, scale)
+
     def _update(self, name: str, at, gradient: np.ndarray) -> None:
-        squares, values = self._squares[name], getattr(self.p, name)
-        squares[at] += gradient * gradient
-        values[at] -= RATE * gradient / np.sqrt(squares[at])
-
-    @staticmethod
-    def _summed(at: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gradients of each index once."""
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        return at[first], np.add.reduceat(gradient[order], first)
+        squares, values = self._squares[name], getattr(self, name)
+        moved = squares[at] + gradient * gradient
+        squares[at] = moved
+        np.sqrt(moved, out=moved)
+        np.divide(gradient, moved, out=moved)
+        moved *= RATE
+        values[at] -= moved
+
+    def _add(self, sums: int, at: np.ndarray, gradient: np.ndarray) -> None:
+        """Add each row to the sum of its class."""
+        np.add.at(self._pairs[sums], self._places.take(at, 0).reshape(-1), gradient.reshape(-1).view(np.complex64))
+
+    def _classes(self, *met: np.ndarray) -> np.ndarray:
+        """Each class once."""
+        for at in met:
+            self._met[at] = True
+        found = np.flatnonzero(self._met)
+        self._met[found] = False
+        return found
+
+    def _summed(self, sums: int, at: np.ndarray) -> np.ndarray:
+        """The sums of these classes, which begin anew."""
+        found = self._sums[sums].take(at, 0)
+        self._sums[sums][at] = 0
+        return found
 
     def learn(self, word: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
         """One pass over tokens, each with the two classes before it."""
@@ -82,30 +121,41 @@ class Trainer:
         self.tokens += len(word)
 
     def _step(self, word: np.ndarray, last: np.ndarray, before: np.ndarray) -> None:
-        p = self.p
         drawn = np.searchsorted(self._cumulative, self._random.random(NOISE) * self._cumulative[-1], "right")
         noise = np.minimum(drawn, len(self._cumulative) - 1)
-        x, y, own = p.context[last], p.context[before], p.target[word]
-        predicted = x * p.scale[0] + y * p.scale[1]
-        false = p.target[noise]
+        predicted, earlier = self._context.take(last, 0), self._context.take(before, 0)
+        predicted *= self._scale[0]
+        earlier *= self._scale[1]
+        predicted += earlier
+        # meets the bias
+        predicted[:, self._size] = 1
+        own, false = self._own.take(word, 0), self._own.take(noise, 0)
         # the gradient of either kind is the probability of the wrong answer
-        hit = (predicted * own).sum(1) + p.bias[word] - self._log_noise[word]
-        miss = predicted @ false.T + (p.bias[noise] - self._log_noise[noise])
+        hit = np.einsum("ij,ij->i", predicted, own)
         d_hit = -1 / (1 + np.exp(np.minimum(hit, 60)))
-        d_miss = 1 / (1 + np.exp(np.minimum(-miss, 60)))
-        d_predicted = d_hit[:, None] * own + d_miss @ false
-        words = np.concatenate([word, noise])
-        gradient = np.concatenate([d_hit[:, None] * predicted, d_miss.T @ predicted])
-        bias = np.concatenate([d_hit, d_miss.sum(0)])
-        at, both = self._summed(words, np.concatenate([gradient, bias[:, None]], axis=1))
-        contexts, context = self._summed(
-            np.concatenate([last, before]), np.concatenate([d_predicted * p.scale[0], d_predicted * p.scale[1]])
-        )
-        scale = np.stack([(d_predicted * x).sum(0), (d_predicted * y).sum(0)])
-        self._update("target", at, both[:, :-1])
-        self._update("bias", at, both[:, -1])
-        self._update("context", contexts, context)
-        self._update("scale", slice(None), scale)
+        d_miss = predicted @ -false.T
+        with np.errstate(over="ignore"):
+            np.exp(d_miss, out=d_miss)
+        d_miss += 1
+        np.reciprocal(d_miss, out=d_miss)
+        d_predicted = d_miss @ false
+        own *= d_hit[:, None]
+        d_predicted += own
+        missed = d_miss.T @ predicted
+        predicted *= d_hit[:, None]
+        self._add(0, word, predicted)
+        self._add(0, noise, missed)
+        self._add(1, last, d_predicted)
+        self._add(2, before, d_predicted)
+        classes, contexts = self._classes(word, noise), self._classes(last, before)
+        of_last, of_before = self._summed(1, contexts), self._summed(2, contexts)
+        vectors = self._context.take(contexts, 0)
+        scale = np.stack([np.einsum("ij,ij->j", of_last, vectors), np.einsum("ij,ij->j", of_before, vectors)])
+        of_last *= self._scale[0]
+        of_before *= self._scale[1]
+        self._update("_own", classes, self._summed(0, classes))
+        self._update("_context", contexts, of_last + of_before)
+        self._update("_scale", slice(None), scale)
 
 
 class Scorer:

@@ -12,6 +12,7 @@ and the shards' parameters are averaged by the number of tokens.
 """
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,9 +48,14 @@ SEEN_TEXTS = 500_000
 WIDTH = 2 * SIZE + 1
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: bytes | None) -> list[bytes]:
     """A-Z lower-cased, separated by ASCII white space."""
-    return text.encode().lower().split() if text else []
+    return text.lower().split() if text else []
+
+
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[bytes | None]:
+    """The column's texts as they are stored, one at a time."""
+    return (text.as_py() for text in batch.column(column).cast(pa.binary()))
 
 
 def form_of(word: bytes, forms: int) -> int:
@@ -68,7 +74,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
     """word and n, with the ends of texts as an empty word; counted in tasks before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[bytes, int] = {}
+        counts: Counter[bytes] = Counter()
         ends = 0
 
         def given() -> pa.RecordBatch:
@@ -78,10 +84,8 @@ def word_counts(documents: DataFrame) -> DataFrame:
             return batch
 
         for batch in batches:
-            for text in batch.column(0):
-                get = counts.get
-                for word in words_of(text.as_py()):
-                    counts[word] = get(word, 0) + 1
+            for text in _texts(batch, 0):
+                counts.update(words_of(text))
                 ends += 1
                 if len(counts) > COUNTED_WORDS:
                     yield given()
@@ -135,9 +139,20 @@ class Head:
         return n / n.sum()
 
 
+class _Numbers(dict):
+    """Numbers of frequent words; what others have is -1 less their form and is not kept."""
+
+    def __init__(self, words: list[bytes], forms: int):
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self._forms = forms
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - form_of(word, self._forms)
+
+
 @lru_cache(1)
-def _numbers(words: bytes, empty: bool) -> dict[bytes, int]:
-    return {} if empty else {w: i for i, w in enumerate(words.split(b"\n"))}
+def _numbers(words: bytes, empty: bool, forms: int) -> _Numbers:
+    return _Numbers([] if empty else words.split(b"\n"), forms)
 
 
 class _Reader:
@@ -145,15 +160,11 @@ class _Reader:
 
     def __init__(self, head: Head):
         self.head = head
-        self._get = _numbers(head.words, not len(head.counts)).get
+        self._number = _numbers(head.words, not len(head.counts), head.forms).__getitem__
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Numbers of frequent words; others have -1 less their form."""
-        get = self._get
-        found = np.array([get(w, -1) for w in words], dtype=np.int64)
-        for i in np.flatnonzero(found < 0).tolist():
-            found[i] = -1 - form_of(words[i], self.head.forms)
-        return found
+        return np.fromiter(map(self._number, words), np.int64, len(words))
 
     def classes(self, numbers: np.ndarray) -> np.ndarray:
         """Classes of a text's words and of its end."""
@@ -188,10 +199,10 @@ def _shards(training: DataFrame, head: Head) -> DataFrame:
         for batch in batches:
             for part in blocks(iter([batch]), 1):
                 nth, classes = [], []
-                for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                for key, text in zip(part.column(0).to_pylist(), _texts(part, 1), strict=True):
                     nth.append(seen.get(key, 0))
                     seen[key] = nth[-1] + 1
-                    classes.append(reader.classes(reader.numbers(words_of(text.as_py()))).astype("<u2").tobytes())
+                    classes.append(reader.classes(reader.numbers(words_of(text))).astype("<u2").tobytes())
                 if len(seen) > SEEN_TEXTS:
                     seen.clear()
                 columns = [part.column(0), pa.array(nth, pa.int64()), pa.array(classes, pa.binary())]
@@ -300,8 +311,8 @@ def _score_known(documents: DataFrame, held_out: Column, head: Head, rows: np.nd
 
         for batch in batches:
             low, texts, numbers, size = 0, [], [], 0
-            for i, text in enumerate(batch.column(2)):
-                texts.append(words_of(text.as_py()))
+            for i, text in enumerate(_texts(batch, 2)):
+                texts.append(words_of(text))
                 numbers.append(reader.numbers(texts[-1]))
                 size += len(texts[-1]) + 1
                 if size >= CHUNK_TOKENS or i + 1 == batch.num_rows:
