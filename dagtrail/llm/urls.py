@@ -10,6 +10,8 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dagtrail.sources.paths import removed_afterwards, shared_folder
+
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 16
 REGULARISATION = 0.001
@@ -114,7 +116,11 @@ def _with_grams(urls: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> PipelineModel:
-    """A model from url and label; the table is small, so one task holds it."""
+    """A model from url and label; the table is small, so one task holds it.
+
+    A fitted model holds its summary and by that the session, which cannot be sent to tasks once anything
+    in it has been observed; a stored and loaded one holds what it has learnt alone.
+    """
     rows = labelled.select("label", host(F.col("url")).alias("_host"), path(F.col("url")).alias("_path"))
     hashing = HashingTF(inputCol="_grams", outputCol="_features", numFeatures=BUCKETS, binary=True)
     regression = LogisticRegression(
@@ -122,7 +128,12 @@ def train(labelled: DataFrame) -> PipelineModel:
         probabilityCol="_probability", regParam=REGULARISATION, maxIter=ITERATIONS, standardization=False,
         threshold=THRESHOLD,
     )
-    return Pipeline(stages=[hashing, regression]).fit(_with_grams(rows).coalesce(1))
+    fitted = Pipeline(stages=[hashing, regression]).fit(_with_grams(rows).coalesce(1))
+    spark = labelled.sparkSession
+    with removed_afterwards(spark):
+        stored = shared_folder(spark, "url-model")
+        fitted.save(stored)
+        return PipelineModel.load(stored)
 
 
 def judge(pages: DataFrame, model: PipelineModel, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
