@@ -6,7 +6,7 @@ longest length down, the gap beside it is filled exactly by one, two or three ot
 lengths where their sums allow that, each such combination as often as the counts last;
 where none fits exactly, the longest length that fits goes in and the rest of the gap is
 tried again. The plan says for each length which of its pieces, counted in the order of
-tasks and rows, go to which sequence and place; each piece finds its own by a binary search.
+tasks and rows, go to which sequence and place, in a few runs that each piece finds its own in.
 """
 
 import zlib
@@ -24,26 +24,42 @@ from dagtrail.sources.paths import store_rows
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, turn long"
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+_RUN = pa.struct([(c, pa.int64()) for c in ("first", "sequence", "offset", "uses")])
+RUNS = pa.schema([("length", pa.int64()), ("runs", pa.list_(_RUN))])
+# The pieces' ids themselves, after the other columns where they are asked for.
+IDS = ", token_ids array<int>"
 # Beyond any number of pieces of one length; separates the lengths in the plan's search key.
 SPAN = 1 << 50
 
 
-def cut_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of at most `capacity` ids of each document's ids and one end id, with their crc32.
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _id_lists(pieces: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *(len(ids) // ID_BYTES for ids in pieces)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(pieces), "<i4")))
+
+
+def cut_pieces(
+    documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False
+) -> DataFrame:
+    """Pieces of at most `capacity` ids of each document's ids and one end id, with their crc32, and with
+    the ids themselves if they are asked for.
 
     `part` is the writing task and `turn` counts its pieces of the same length. A null or
     empty text is the end id alone; equal rows are packed as often as they occur.
     """
     end = end_id.to_bytes(ID_BYTES, "little")
-    names = [c.split()[0] for c in PIECES.split(", ")]
+    schema = PIECES + (IDS if with_ids else "")
+    names = _names(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         part = TaskContext.get().partitionId()
         turns: dict[int, int] = {}
         for batch in blocks(batches, 1):
-            made = []
+            made, cut = [], []
             for doc_id, text in zip(batch.columns[0].to_pylist(), batch.columns[1], strict=True):
                 packed = encode.packed(text.as_py()) + end
                 for piece, at in enumerate(range(0, len(packed), ID_BYTES * capacity)):
@@ -51,12 +67,14 @@ def cut_pieces(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity:
                     length = len(ids) // ID_BYTES
                     turn = turns[length] = turns.get(length, -1) + 1
                     made.append((doc_id, piece, at // ID_BYTES, length, zlib.crc32(ids), part, turn))
+                    cut.append(ids)
             columns = zip(*made, strict=True) if made else [[]] * len(names)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            arrays += [_id_lists(cut)] if with_ids else []
+            yield pa.RecordBatch.from_arrays(arrays, names=_names(schema))
 
-    return first_columns(documents, "doc_id", "text").mapInArrow(run, PIECES)
+    return first_columns(documents, "doc_id", "text").mapInArrow(run, schema)
 
 
 class _Counts:
@@ -148,35 +166,41 @@ class _Places:
         nth = key - self.keys[at]
         return self.sequences[at] + nth // self.uses[at], self.offsets[at] + nth % self.uses[at] * length
 
+    def runs(self) -> pa.Table:
+        """For each length its runs in order: the first piece, its sequence and offset, and pieces in each sequence."""
+        found: dict[int, list[dict[str, int]]] = {}
+        rows = (x.tolist() for x in (self.keys // SPAN, self.keys % SPAN, self.sequences, self.offsets, self.uses))
+        for length, *run in zip(*rows, strict=True):
+            found.setdefault(length, []).append(dict(zip(_RUN.names, run, strict=True)))
+        return pa.table([list(found), list(found.values())], schema=RUNS)
+
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Put stored pieces into sequences of at most `capacity` tokens without gaps between them.
 
-    Sequences are numbered from 0. An empty table has none.
+    Sequences are numbered from 0. Pieces that hold their ids keep them, so a sequence is its pieces' ids by
+    offset. An empty table has none.
     """
+    ids = ["token_ids"] if "token_ids" in pieces.columns else []
     per_task = pieces.groupBy("part", "length").agg((F.max("turn") + 1).alias("n"))
     per_task = store_rows(per_task, "lengths")
     # at most `capacity` rows
     counts = {r.length: r.n for r in per_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    places = _Places(plan_sequences(counts, capacity))
+    runs = _Places(plan_sequences(counts, capacity)).runs()
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = per_task.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = pieces.join(base, ["part", "length"])
-    ranked = ranked.select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("turn")).alias("rank")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sequence, offset = places.of(batch.column(3).to_numpy(), batch.column(5).to_numpy())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array(sequence), pa.array(offset)],
-                names=[c.split()[0] for c in PLACED.split(", ")],
-            )
-
-    return ranked.mapInArrow(run, PLACED)
-
-
-def pack_documents(documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
+    ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("turn"))
+    # a row for each of at most `capacity` lengths, with a few runs
+    ranked = ranked.join(F.broadcast(pieces.sparkSession.createDataFrame(runs)), "length")
+    own = F.element_at(F.filter("runs", lambda run: run["first"] <= F.col("rank")), -1)
+    placed = ranked.withColumn("run", own).withColumn("nth", F.expr("rank - run.first"))
+    sequence = F.expr("run.sequence + nth div run.uses").alias("sequence_id")
+    offset = F.expr("run.offset + nth % run.uses * length").alias("offset")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", sequence, offset, *ids)
+
+
+def pack_documents(
+    documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False
+) -> DataFrame:
     """Encode, cut and pack documents; see `cut_pieces` and `pack`."""
-    return pack(store_rows(cut_pieces(documents, tokenizer, end_id, capacity), "pieces"), capacity)
+    return pack(store_rows(cut_pieces(documents, tokenizer, end_id, capacity, with_ids), "pieces"), capacity)

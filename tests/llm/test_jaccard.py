@@ -118,3 +118,22 @@ def test_the_stage_takes_near_fingerprints_to_the_decision(spark, monkeypatch):
     same = jaccard.numbered(docs, "doc_id", "text")
     every = same.select("row", F.lit(1).cast("long").alias("group"))
     assert jaccard.near_duplicates(same, groups=every).select("root").distinct().count() >= 3
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_all_links_of_a_group_are_connected_or_decided(spark, monkeypatch, known):
+    nothing = spark.createDataFrame([], "token long, set long, size long, at long, other long")
+    monkeypatch.setattr(jaccard, "_lists", lambda postings: nothing)
+    # pairs of near copies in one group, of which only one can have the member that the others are met with first
+    found = [(2 * i + j, prose(600 + i, 900) + " end" * j, "xx", "a", 1) for i in range(4) for j in range(2)]
+    for (_, one, *_), (_, other, *_) in zip(found[::2], found[1::2], strict=True):
+        assert (simhash.fingerprint(one) ^ simhash.fingerprint(other)).bit_count() <= simhash.MAX_DISTANCE
+    same = jaccard.numbered(documents(spark, found), "doc_id", "text")
+    groups = same.select("row", F.lit(1).cast("long").alias("group"))
+    if known:
+        prints = simhash.fingerprints(same.select(F.col("row").alias("doc_id"), "text"))
+        groups = groups.join(prints.select(F.col("doc_id").alias("row"), "fingerprint"), "row")
+    answer, roots = jaccard.near_duplicates(same, groups=groups).collect(), {}
+    for r in answer:
+        roots.setdefault(r.root, []).append(r.doc_id)
+    assert sorted(map(sorted, roots.values())) == [[0, 1], [2, 3], [4, 5], [6, 7]]

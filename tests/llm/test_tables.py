@@ -257,5 +257,13 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     )
 
 
+def test_the_pipeline_gives_the_ids_of_its_sequences(spark, tmp_path):
+    found = [(i, prose(300 + i, 120 + i), "xx", "a", 1) for i in range(12)]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {r[0]: library.encode(r[1], add_special_tokens=False).ids + [0] for r in found}
+    packed = corpus_pipeline.run(spark, in_folder(spark, tmp_path, found)).collect()
+    assert packed and all(r.token_ids == ids[r.doc_id][r.start : r.start + r.length] for r in packed)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     assert corpus_pipeline.run(spark, in_folder(spark, tmp_path, [])).count() == 0

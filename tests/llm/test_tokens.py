@@ -160,6 +160,20 @@ def test_packing(spark, library, capacity):
     assert least <= check_packed(packed, capacity) <= least + 2
 
 
+def test_packed_pieces_keep_their_ids(spark, library):
+    packed = packing.pack_documents(documents(spark, clash=True), WORD_BPE, end_id=0, capacity=64, with_ids=True)
+    assert packed.schema["token_ids"].dataType.simpleString() == "array<int>"
+    found = packed.collect()
+    check_packed(found, 64)
+    assert all(len(r.token_ids) == r.length and crc(r.token_ids) == r.ids_crc32 for r in found)
+    # documents come back from their pieces
+    for doc_id in (9, 13, 17):
+        pieces = sorted((r for r in found if r.doc_id == doc_id), key=lambda r: r.piece)
+        assert [i for r in pieces for i in r.token_ids] == ids_of(library, rows()[doc_id][1]) + [0]
+    none = packing.pack_documents(documents(spark, []), WORD_BPE, with_ids=True)
+    assert none.count() == 0 and none.columns[-1] == "token_ids"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), max_size=25))
 def test_plans_use_every_piece_once(counts):
